@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .importance import op6_importance
+from .jaccard import op10_jaccard
+from .licenses import op3_licenses
 from .lines import OP1_SQL, op1_line_dedup
+from .merkle import OP2_SQL, op2_merkle
 from .mixing import OP7_SQL, op7_mixing
 from .packing import op8_packing
 from .pii import op5_private
@@ -11,14 +15,19 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_merkle": op2_merkle,
+    "op3_licenses": op3_licenses,
     "op4_repetition": op4_repetition,
     "op5_private": op5_private,
+    "op6_importance": op6_importance,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard": op10_jaccard,
 }
 
 SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op2_merkle": OP2_SQL,
     "op7_mixing": OP7_SQL,
 }
