@@ -21,6 +21,9 @@ from .common import WORD, materialize, text_or_empty
 
 #: Slices of the keys of a source. A slice of a source of ten billion documents holds some five million slim rows.
 SLICES = 2048
+#: The plan has a row for each source; up to this many (a few MB) it is broadcast.
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 
 
 def quality_weight(size: Column) -> Column:
@@ -100,13 +103,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         .select(F.col("p_source").alias("e_source"), "end_slice", "low_key", F.col("last")["i"].alias("low_id"))
     )
     plan = plan.join(ends, plan["source"].eqNullSafe(F.col("e_source")), "left").select(F.col("source").alias("p_source"), "source_size", "target", "epochs", "end_slice", "low_key", "low_id")
+    plan = materialize(plan, "mixing-ends")
     chosen = (F.col("slice") < F.col("end_slice")) | (
         (F.col("slice") == F.col("end_slice")) & ((F.col("key") > F.col("low_key")) | ((F.col("key") == F.col("low_key")) & (F.coalesce("doc_id", F.lit(-(2**63))) <= F.col("low_id"))))
     )
     copies = F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
+    if plan.count() <= BROADCAST_SOURCES:
+        joined = slim.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))
+    else:  # a hot source is spread over SALTS tasks, and the plan repeated for each
+        salted = plan.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = slim.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("salt") == F.col("p_salt")))
     return (
-        slim.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
-        .withColumn("copies", copies.cast("long"))
+        joined.withColumn("copies", copies.cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *extra)
     )
 
