@@ -44,7 +44,8 @@ def image_tokens(h: Column, w: Column, bounds: tuple[int, int] = IMAGE_PIXELS) -
 
 
 def frame_count(seconds: Column, interval: float = 1.0, bounds: tuple[int, int] = FRAMES) -> Column:
-    return F.least(F.greatest(F.rint(seconds / F.lit(interval)), F.lit(float(bounds[0]))), F.lit(float(bounds[1]))).cast("long")
+    clamped = F.least(F.greatest(F.rint(seconds / F.lit(interval)), F.lit(float(bounds[0]))), F.lit(float(bounds[1])))
+    return F.when(seconds.isNotNull(), clamped).cast("long")  # least and greatest skip nulls
 
 
 def frame_indices(total: Column, n: Column) -> Column:

@@ -17,7 +17,7 @@ ALL_FRAMES_FOLDER = "vid_processed"
 def frame_plan(df: DataFrame, total: str, fps: str, path: str | None = None, interval: float = 1.0) -> DataFrame:
     """df with n_frames, frames (positions) and effective fps; null where the rate is not positive."""
     seconds = F.when(F.col(fps) > 0, F.col(total) / F.col(fps))
-    n = F.least(mathx.frame_count(seconds, interval), F.col(total).cast("long"))
+    n = F.when(seconds.isNotNull(), F.least(mathx.frame_count(seconds, interval), F.col(total).cast("long")))
     if path:
         n = F.when(parent_name(F.col(path)) == ALL_FRAMES_FOLDER, F.col(total).cast("long")).otherwise(n)
     return df.withColumn("n_frames", n).withColumn("frames", F.when(F.col("n_frames").isNotNull(), mathx.frame_indices(F.col(total).cast("long"), F.col("n_frames")))).withColumn("effective_fps", F.col("n_frames") / seconds)

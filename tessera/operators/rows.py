@@ -130,6 +130,6 @@ KEPT_FILES = ("config.json", "generation_config.json", "trainer_state.json", "to
 
 def retention(files: DataFrame, step: str = "step", name: str = "name") -> DataFrame:
     """files with delete: true for what an older checkpoint loses. The newest keeps all; others keep weights and settings."""
-    newest_step = F.max(F.col(step).cast("long")).over(Window.partitionBy(F.lit(0)))
+    newest_step = F.broadcast(files.agg(F.max(F.col(step).cast("long")).alias("_newest")))  # one row
     stays = F.col(name).isin(*KEPT_FILES) | F.col(name).rlike(r"^model-.*\.safetensors$")
-    return files.withColumn("delete", (F.col(step).cast("long") != newest_step) & ~stays)
+    return files.crossJoin(newest_step).withColumn("delete", (F.col(step).cast("long") != F.col("_newest")) & ~stays).drop("_newest")

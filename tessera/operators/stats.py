@@ -88,11 +88,10 @@ def correlation_p(n: int, r: float) -> float | None:
     return incomplete_beta((n - 2) / 2, 0.5, 1 - r * r)
 
 
-@F.pandas_udf("double")
-def p_value(n: pd.Series, r: pd.Series) -> pd.Series:
+def _p_values(n: pd.Series, r: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(None if pd.isna(a) else int(a), None if pd.isna(b) else float(b)) for a, b in zip(n, r, strict=True)], dtype="float64")
 
 
 def significant(df: DataFrame, level: float = 0.05) -> DataFrame:
     """(.., n, r) with p, and r set to null where p is above the level. Runs over groups, after aggregation."""
-    return df.withColumn("p", p_value("n", "r")).withColumn("r_significant", F.when(F.col("p") <= level, F.col("r")))
+    return df.withColumn("p", F.pandas_udf(_p_values, "double")("n", "r")).withColumn("r_significant", F.when(F.col("p") <= level, F.col("r")))
