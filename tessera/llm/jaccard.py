@@ -105,7 +105,7 @@ def _unpacked(rows: list[dict], width: int) -> tuple[np.ndarray, list[np.ndarray
     return np.concatenate(cls or [np.zeros(0, CLASS)]), columns
 
 
-def _shingle(batches: Iterator[pa.RecordBatch], buckets: int, words: int) -> Iterator[pa.RecordBatch]:
+def _shingle(batches: Iterator[pa.RecordBatch], buckets: int, words: int, flush_at: int = FLUSH, heavy_at: int = HEAVY) -> Iterator[pa.RecordBatch]:
     hashes, seen = WordHashes(), set()
     sets: list[np.ndarray] = []
     classes: list[tuple[int, int]] = []
@@ -119,7 +119,7 @@ def _shingle(batches: Iterator[pa.RecordBatch], buckets: int, words: int) -> Ite
         cls = np.repeat(np.array(classes, CLASS), [len(x) for x in sets])
         ordered = np.sort(tokens)
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        heavy = ordered[starts][np.diff(np.append(starts, len(ordered))) >= HEAVY]
+        heavy = ordered[starts][np.diff(np.append(starts, len(ordered))) >= heavy_at]
         is_heavy = np.isin(tokens, heavy) if len(heavy) else np.zeros(len(tokens), bool)
         rows = _packed(MARKS, token_bucket(heavy, buckets), [heavy])
         rows += _by_class(HEAVIES, class_bucket(cls["s"][is_heavy], buckets), cls[is_heavy], [tokens[is_heavy]])
@@ -143,7 +143,7 @@ def _shingle(batches: Iterator[pa.RecordBatch], buckets: int, words: int) -> Ite
         known = np.array([d is not None for d in docs])
         ids = np.array([0 if d is None else d for d in docs], np.int64)
         yield _batch(_packed(DOCS, class_bucket(cls["s"], buckets), [cls, np.array(n, np.uint32), ids, known]))
-        if held >= FLUSH:
+        if held >= flush_at:
             yield _batch(flush())
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -356,7 +356,7 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield done()
 
 
-def near_groups(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS, percent: int = PERCENT, heavy: int = HEAVY, cut: int = CUT_CLASSES) -> DataFrame:
     """(id, n_shingles, component_id) for each row of docs; component_id is the smallest id that links reach.
 
     A null, empty or wordless text has no shingles and links with nothing. A text of fewer words than a shingle has
@@ -366,7 +366,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS,
     spark = docs.sparkSession
     small_batches(spark)
     buckets = partitions(spark)
-    dealt = docs.select(F.col(id_column).cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: _shingle(b, buckets, words), PACKED).repartitionById(buckets, F.col("bucket"))
+    dealt = docs.select(F.col(id_column).cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: _shingle(b, buckets, words, FLUSH, heavy), PACKED).repartitionById(buckets, F.col("bucket"))
     ranked = dealt.mapInArrow(lambda b: _rank(b, buckets), PACKED).repartitionById(buckets, F.col("bucket"))
     found = materialize(ranked.mapInArrow(lambda b: _prefix(b, percent), CANDIDATES), "jaccard")
     rows = found.where("tokens is null").select("doc_id", "n", "s", "t")
@@ -376,7 +376,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", words: int = WORDS,
     chained = heads.repartition(buckets, "token").sortWithinPartitions("token", "n", "s").mapInArrow(lambda b: _chains(b, percent), "a long, b long")
     blocks = components(chained)
     member = materialize(classes.join(blocks.select(F.col("node").alias("s"), F.col("root").alias("block")), "s"), "jaccard-blocks")
-    cuts = member.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CUT_CLASSES), F.ceil(F.sum(F.length("tokens") / 8) / CUT_SHINGLES)).cast("int").alias("cuts"))
+    cuts = member.groupBy("block").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cut), F.ceil(F.sum(F.length("tokens") / 8) / CUT_SHINGLES)).cast("int").alias("cuts"))
     tasks = (
         member.join(cuts, "block").withColumn("cut", F.pmod(F.hash("s"), F.col("cuts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
