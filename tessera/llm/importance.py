@@ -28,8 +28,8 @@ TARGET_ROWS = 10_000
 #: Buckets of words and pairs, and of shapes (powers of two); the models have the sum of both.
 WORD_BUCKETS, SHAPE_BUCKETS = 8192, 8192
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
-#: Weight of the raw model in the target's, in counts for each bucket: keeps rare buckets near a ratio of one.
-PRIOR = 400.0
+#: Share of the raw model that is mixed into the target's: bounds the log ratio of an n-gram from below.
+PRIOR = 0.5
 #: Log ratio of a text without words.
 EMPTY = -1000.0
 #: Range of a document's log ratio; beyond it, a Gumbel variate decides nothing.
@@ -102,10 +102,9 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.n
     """log p_target - log p_raw of each bucket; words and shapes are models of their own."""
     out = np.zeros(BUCKETS)
     for part in (slice(0, WORD_BUCKETS), slice(WORD_BUCKETS, BUCKETS)):
-        t, r = target[part], raw[part] + 1.0
+        t, r = target[part] + 1e-9, raw[part] + 1.0
         p = r / r.sum()
-        strength = prior * len(p)
-        out[part] = np.log((t + strength * p) / (t.sum() + strength)) - np.log(p)
+        out[part] = np.log((1 - prior) * t / t.sum() + prior * p) - np.log(p)
     return out
 
 
