@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import struct
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +49,6 @@ def fits(num_tokens: Column, limit: int) -> Column:
 
 def is_valid_image_udf():
     """A vectorised check of image bytes: (ok, h, w) from the header of a PNG, GIF or JPEG; no decoder is needed."""
-    import struct
-
-    import pandas as pd
-
     def size(blob: bytes | None) -> tuple[bool, int | None, int | None]:
         try:
             if blob[:8] == b"\x89PNG\r\n\x1a\n":
