@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, raw_texts, rolling, small_batches
 
-#: Window length in words, and the largest share of word characters inside windows that repeat.
-NGRAM_LIMITS = ((5, 0.20), (6, 0.18), (7, 0.16), (8, 0.15), (9, 0.14), (10, 0.13))
+#: Window length in words, and the largest share of word characters inside windows that repeat.
+NGRAM_LIMITS = ((5, 0.20), (6, 0.20), (7, 0.20), (8, 0.20), (9, 0.20), (10, 0.20))
 #: Largest share of word characters in lines that repeat an earlier one, and of such lines.
 LINE_CHARS_LIMIT, LINES_LIMIT = 0.30, 0.40
 #: Symbols of junk, and the largest number of them for each word.
