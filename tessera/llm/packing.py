@@ -10,7 +10,6 @@ window, and no task gathers more than FAN of them.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,6 +33,16 @@ FIELDS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 SPILL = "part long, ord long, ids binary"
 
 
+def lowered(text: str) -> str:
+    """Lower case where that is what the tokenizer does, character by character; other texts are left to it."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 class Words:
     """Token ids of texts, by white-space-free chunks that are remembered up to a bound.
 
@@ -42,7 +51,15 @@ class Words:
     """
 
     LIMIT = 400_000
-    TAIL = re.compile(r"([a-z]+)([.,;:!?]+)\Z")
+    MARKS = ".,;:!?"
+    #: By path: a worker process keeps what it has learned from one task to the next.
+    kept: dict[str, Words] = {}
+
+    @classmethod
+    def at(cls, path: str) -> Words:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
 
     def __init__(self, path: str):
         worker_env()
@@ -56,8 +73,9 @@ class Words:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """A run of punctuation behind plain letters is a token run of its own; both parts are looked up apart."""
-        split = {c: m.groups() for c in chunks if (m := self.TAIL.match(c))}
+        """A run of punctuation behind letters alone is a token run of its own; both parts are looked up apart."""
+        heads = ((c, c.rstrip(self.MARKS)) for c in chunks)
+        split = {c: (h, c[len(h) :]) for c, h in heads if len(h) < len(c) and h.isalpha()}
         wanted = list({p for c in chunks for p in split.get(c, (c,))} - self.known.keys())
         self.known.update(zip(wanted, self._ids(wanted), strict=True))
         for c, (a, b) in split.items():
@@ -68,7 +86,7 @@ class Words:
         if len(self.known) > self.LIMIT:
             self.known = {"": b""}
         whole = {i for i, t in enumerate(batch) if any(s in t for s in self.special)}
-        chunks = [[] if i in whole else (t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for i, t in enumerate(batch)]
+        chunks = [[] if i in whole else lowered(t).replace("\n", " ").split(" ") for i, t in enumerate(batch)]
         new: set[str] = set()
         for own in chunks:
             new.update(own)
@@ -164,7 +182,7 @@ class Rows:
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, size: int, bound: int) -> Iterator[pa.RecordBatch]:
-    words, windows, rows = Words(path), Windows(size, bound), Rows(True)
+    words, windows, rows = Words.at(path), Windows(size, bound), Rows(True)
     part, made, end = TaskContext.get().partitionId(), 0, np.array([END_ID], "<u4").tobytes()
     for batch in batches:
         for doc, ids in zip(batch.column(0).to_pylist(), words.encode(texts(batch.column(1))), strict=True):
