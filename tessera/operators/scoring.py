@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +88,18 @@ def validity_keyed(original: DataFrame, judged: DataFrame, fields: list[str], ke
 def accuracy_by(df: DataFrame, ok: Column, *keys: Column | str, rollup: bool = False) -> DataFrame:
     grouped = df.rollup(*keys) if rollup else df.groupBy(*keys)
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("accuracy"))
+
+
+def judged_by(df: DataFrame, judge: Callable[[pd.DataFrame], list[bool | None]]) -> DataFrame:
+    """df (id, question, answer, model_answer) with is_correct from an outside judge, called once for each Arrow batch.
+
+    A verdict that isn't a boolean becomes null, which the summary counts as invalid.
+    """
+    fields = ["id", "question", "answer", "model_answer"]
+
+    def run(batches):
+        for rows in batches:
+            verdicts = judge(rows)
+            yield rows.assign(is_correct=pd.Series([v if isinstance(v, bool) else None for v in verdicts], dtype="object", index=rows.index))
+
+    return df.select(*fields).mapInPandas(run, "id long, question string, answer string, model_answer string, is_correct boolean")

@@ -312,3 +312,10 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(60)
     got, want = spark.sql("select * from scores").first(), S.score(rows, filter_name="yes_no").first()
     assert (got["total"], got["correct"], got["invalid"]) == (want["total"], want["correct"], want["invalid"])
+
+
+def test_outside_judge(spark):
+    rows = spark.createDataFrame([(1, "q", "a", "a"), (2, "q", "a", "b"), (3, "q", "a", None)], SO.RESULT)
+    judged = S.judged_by(rows, lambda part: [None if m is None else m == a for a, m in zip(part["answer"], part["model_answer"], strict=True)])
+    r = S.judge_summary(judged).first()
+    assert (r["total"], r["correct"], r["invalid"]) == (3, 1, 1)
