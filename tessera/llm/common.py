@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word, as a pattern of Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch; long texts make batches of the default 10,000 rows heavy.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch; long texts make batches of the default 10,000 rows heavy.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,10 +42,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of an Arrow batch where the session still has Spark's default."""
+    """Bounds the rows and bytes of an Arrow batch where the session still has Spark's defaults."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) == 10000:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:

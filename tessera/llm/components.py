@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: Edges of one file of a round.
+FILE_EDGES = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of edges (a, b); ends in O(log nodes) rounds, as ids are random."""
+    """(node, root) for each node of edges (a, b); ends in O(log nodes) rounds, as ids are random.
+
+    A round writes its edges and parents to the shared folder; their number of files follows the count of edges.
+    """
     edges = materialize(edges.where("a <> b").distinct(), "edges")
     labels = None
-    while not edges.isEmpty():
+    while n := edges.count():
+        files = 1 + n // FILE_EDGES
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).withColumnRenamed("a", "node"), "parents")
+        parent = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("up")).coalesce(files), "parents")
         left, right = parent.select(F.col("node").alias("a"), F.col("up").alias("ua")), parent.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         if labels is None:
             labels = parent.select("node", F.col("up").alias("root"))
         else:
-            moved = parent.select(F.col("node").alias("root"), "up")
-            labels = labels.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        labels = materialize(labels, "labels")
-        edges = edges.join(left, "a").join(right, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).where("a <> b").distinct()
-        edges = materialize(edges, "edges")
+            labels = labels.join(parent.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        edges = materialize(edges.join(left, "a").join(right, "b").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).where("a <> b").distinct().coalesce(files), "edges")
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

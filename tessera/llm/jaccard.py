@@ -11,8 +11,8 @@ exact copies are never compared. The steps, each a stream over packed arrays:
 3. prefix    a class has n shingles, of which s are shared. In the order rare first (unique, by count, heavy; then
              by hash) two linked classes have a common shingle among the first n - ceil(0.75 n) + 1. If unique ones
              fill that prefix, no link is possible. The others are candidates, with their prefix and all shared ones.
-4. join      candidates meet on prefix shingles. Those of near length form a chain by length, so that what is
-             linked by any chain of candidate pairs falls into one block, without a row for each pair.
+4. join      candidates meet on prefix shingles. Those of near length form a chain by length, tied to its first, so
+             that what is linked by any chain of candidate pairs falls into one block, without a row for each pair.
 5. verify    within a block, a pair is compared once, after the length, prefix, positional and suffix filters; a
              search over the links leaves out classes that are reached already, so a group of thousands of near
              copies costs few comparisons. Large blocks are cut and compared cut by cut.
@@ -73,6 +73,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["bucket", "kind", "a", "b", "c", "d"])
 
 
+def _batches(rows: list[tuple], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes."""
+    part, held = [], 0
+    for row in rows:
+        part.append(row)
+        held += sum(map(len, row[2:]))
+        if held >= most:
+            yield _batch(part)
+            part, held = [], 0
+    if part:
+        yield _batch(part)
+
+
 def _packed(kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
     return [(b, kind, *blobs, *[b""] * (4 - len(blobs))) for b, blobs in deal(bucket, columns)]
 
@@ -142,12 +155,12 @@ def _shingle(batches: Iterator[pa.RecordBatch], buckets: int, words: int, flush_
         cls = np.array(own_class, CLASS)
         known = np.array([d is not None for d in docs])
         ids = np.array([0 if d is None else d for d in docs], np.int64)
-        yield _batch(_packed(DOCS, class_bucket(cls["s"], buckets), [cls, np.array(n, np.uint32), ids, known]))
+        yield from _batches(_packed(DOCS, class_bucket(cls["s"], buckets), [cls, np.array(n, np.uint32), ids, known]))
         if held >= flush_at:
-            yield _batch(flush())
+            yield from _batches(flush())
             if len(seen) > 1_000_000:
                 seen.clear()
-    yield _batch(flush())
+    yield from _batches(flush())
 
 
 def _rank(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -161,7 +174,7 @@ def _rank(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
                 marks.append(np.frombuffer(row["a"], np.uint64))
             else:
                 passed.append(tuple(row[k] for k in ("bucket", "kind", "a", "b", "c", "d")))
-        yield _batch(passed)
+        yield from _batches(passed)
     heavy = np.unique(np.concatenate(marks)) if marks else np.zeros(0, np.uint64)
     cls, (tokens,) = _unpacked(postings, 1)
     postings.clear()
@@ -185,7 +198,7 @@ def _rank(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
         rank[np.isin(tokens, heavy)] = LAST
     shared = rank >= 2
     tokens, cls, rank = tokens[shared], cls[shared], rank[shared]
-    yield _batch(_by_class(SHARED, class_bucket(cls["s"], buckets), cls, [tokens, rank]))
+    yield from _batches(_by_class(SHARED, class_bucket(cls["s"], buckets), cls, [tokens, rank]))
 
 
 CANDIDATES = "doc_id long, n int, s long, t long, tokens binary, prefix binary, places binary"
@@ -256,25 +269,32 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _chains(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, n): an edge for each two that follow one another with near lengths."""
+    """Rows sorted by (token, n). In a run each length is near the one before; all of a run are tied to its first."""
     last, seen = None, np.zeros(0, np.dtype([("a", "<i8"), ("b", "<i8")]))
+
+    def out() -> pa.RecordBatch:
+        return pa.record_batch([pa.array(np.ascontiguousarray(seen["a"])), pa.array(np.ascontiguousarray(seen["b"]))], names=["a", "b"])
+
     for batch in batches:
         token, n, s = (batch.column(i).to_numpy() for i in range(3))
-        if last is not None:
-            token, n, s = np.append(last[0], token), np.append(last[1], n), np.append(last[2], s)
-        last = (token[-1:], n[-1:], s[-1:]) if len(token) else last
-        near = (token[1:] == token[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64)) & (s[1:] != s[:-1])
-        pairs = np.zeros(int(near.sum()), seen.dtype)
-        pairs["a"], pairs["b"] = np.minimum(s[1:], s[:-1])[near], np.maximum(s[1:], s[:-1])[near]
-        seen = np.unique(np.concatenate([seen, pairs]))
+        if not len(token):
+            continue
+        before = last or (token[:1] ^ 1, n[:1], s[:1])
+        near = (token == np.append(before[0], token[:-1])) & (100 * np.append(before[1], n[:-1]).astype(np.int64) >= percent * n.astype(np.int64))
+        first = np.maximum.accumulate(np.where(near, -1, np.arange(len(s))))
+        hub = np.where(first < 0, before[2], s[np.maximum(first, 0)])
+        last = (token[-1:], n[-1:], hub[-1:])
+        pairs = np.zeros(len(s), seen.dtype)
+        pairs["a"], pairs["b"] = np.minimum(s, hub), np.maximum(s, hub)
+        seen = np.unique(np.concatenate([seen, pairs[s != hub]]))
         if len(seen) > 200_000:
-            yield pa.record_batch([pa.array(np.ascontiguousarray(seen["a"])), pa.array(np.ascontiguousarray(seen["b"]))], names=["a", "b"])
+            yield out()
             seen = seen[:0]
-    yield pa.record_batch([pa.array(np.ascontiguousarray(seen["a"])), pa.array(np.ascontiguousarray(seen["b"]))], names=["a", "b"])
+    yield out()
 
 
 def links(n: np.ndarray, sets: list[np.ndarray], heads: list[np.ndarray], places: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join what is linked among classes; with two sides (0 and 1), only pairs across are compared.
+    """Pairs (first of a search, class it reaches), which join all that is linked; with two sides (0 and 1), only pairs across are compared.
 
     A search: a class is compared with those not yet reached, so each pair is compared once at most. Before its sets
     are intersected, a pair passes the filters of length, prefix, position and suffix.
@@ -325,7 +345,7 @@ def links(n: np.ndarray, sets: list[np.ndarray], heads: list[np.ndarray], places
             mark[flat[offsets[v] : offsets[v + 1]]] = False
             for w in who[100 * common >= percent * (n[v] + n[who] - common)].tolist():
                 reached[w] = True
-                found.append((v, w))
+                found.append((begin, w))
                 queue.append(w)
     return found
 
