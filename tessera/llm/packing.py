@@ -10,7 +10,9 @@ window, and no task gathers more than FAN of them.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -66,31 +68,44 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        assert sys.byteorder == "little" and array("I").itemsize == 4
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str]) -> None:
         """A run of punctuation behind letters alone is a token run of its own; both parts are looked up apart."""
-        heads = ((c, c.rstrip(self.MARKS)) for c in chunks)
-        split = {c: (h, c[len(h) :]) for c, h in heads if len(h) < len(c) and h.isalpha()}
-        wanted = list({p for c in chunks for p in split.get(c, (c,))} - self.known.keys())
-        self.known.update(zip(wanted, self._ids(wanted), strict=True))
-        for c, (a, b) in split.items():
-            self.known[c] = self.known[a] + self.known[b]
+        known, old, wanted, split = self.known, self.old, set(), []
+        for c in chunks:
+            if c in old:
+                known[c] = old[c]
+                continue
+            head = c.rstrip(self.MARKS)
+            if len(head) < len(c) and head.isalpha():
+                tail = c[len(head) :]
+                split.append((c, head, tail))
+                wanted.add(head)
+                wanted.add(tail)
+            else:
+                wanted.add(c)
+        new = [c for c in wanted if c not in known]
+        known.update(zip(new, self._ids(new), strict=True))
+        for c, head, tail in split:
+            known[c] = known[head] + known[tail]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
+            self.known, self.old = {"": b""}, self.known  # what is still in use comes over
         whole = {i for i, t in enumerate(batch) if any(s in t for s in self.special)}
         chunks = [[] if i in whole else lowered(t).replace("\n", " ").split(" ") for i, t in enumerate(batch)]
         new: set[str] = set()
         for own in chunks:
             new.update(own)
-        self._learn(list(new - self.known.keys()))
+        self._learn(new - self.known.keys())
         direct = dict(zip(whole, self._ids([batch[i] for i in whole]), strict=True))
         get = self.known.__getitem__
         return [direct[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
