@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, raw_texts, rolling, small_batches
 
-#: Window length in words, and the largest share of word characters inside windows that repeat.
-NGRAM_LIMITS = ((5, 0.20), (6, 0.20), (7, 0.20), (8, 0.20), (9, 0.20), (10, 0.20))
+#: Window length in words, and the largest share of word characters inside windows that repeat. Words in longer
+#: windows that repeat stand in shorter ones that do, so a length decides only where its limit is below those before:
+#: 2 to 5 do, 6 to 10 don't.
+NGRAM_LIMITS = ((2, 0.70), (3, 0.65), (4, 0.60), (5, 0.20), (6, 0.20), (7, 0.20), (8, 0.20), (9, 0.20), (10, 0.20))
 #: Largest share of word characters in lines that repeat an earlier one, and of such lines.
 LINE_CHARS_LIMIT, LINES_LIMIT = 0.30, 0.40
 #: Symbols of junk, and the largest number of them for each word.
@@ -91,7 +93,8 @@ def measure(text: bytes, hashes: WordHashes, lengths: Lengths) -> tuple:
         if length == BASE_WINDOW:
             repeat_words = int(cover.sum())
         share = float(size[cover].sum()) / chars
-        worst = max(worst, share)
+        if length >= BASE_WINDOW:
+            worst = max(worst, share)
         if share > limit and reason is None:
             reason = f"ngram_{length}"
     failed = n < LEAST_WORDS or 100 * repeat_words > BASE_PERCENT * n
@@ -117,7 +120,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repetition_rules(docs: DataFrame) -> DataFrame:
-    """A row for each row of docs; see COLUMNS. reason names the first rule that fails, null for a kept text.
+    """A row for each row of docs; see COLUMNS. reason names the first rule that fails, null for a kept text;
+    covered_share is of windows of BASE_WINDOW words or more.
 
     A null or empty text has no words and fails the base rule. Null and repeated doc_ids are rows like others;
     other columns play no part. An empty table gives an empty result. No shuffle; a text is held one at a time.

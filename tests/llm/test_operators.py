@@ -170,6 +170,18 @@ def test_repetition_base(spark, rows):
         assert not (r["base_failed"] and r["kept"])
 
 
+@pytest.mark.parametrize("length,passages,others,other,reason", [(2, 6, 6, "s{:04}", "ngram_2"), (3, 6, 17, "s{:04}", "ngram_3"), (4, 6, 29, "s{:04}", "ngram_4"), (5, 1, 40, "{:02}", "ngram_5"), (4, 6, 48, "s{:04}", None), (10, 1, 100, "s{:04}", None)])
+def test_repetition_each_length_decides(length, passages, others, other, reason):
+    """Passages that occur twice, in reverse order the second time, so that no longer window repeats."""
+    parts = [[f"p{k:02}{j:02}" for j in range(length)] for k in range(passages)]
+    words = [w for p in [*parts, *parts[::-1]] for w in p] + [other.format(k) for k in range(others)]
+    assert len({tuple(words[k : k + length + 1]) for k in range(len(words) - length)}) == len(words) - length
+    text = " ".join(words)
+    assert not brute_base(text)[-1]
+    got = repetition.measure(text.encode(), repetition.WordHashes(), repetition.Lengths())
+    assert (got[6], got[9]) == (reason is None, reason)
+
+
 def brute_spans(text):
     out = {"email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]}
     out["ip"] = [m.span() for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", text) if all(int(p) <= 255 for p in m[0].split("."))]
