@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -149,17 +150,30 @@ def recognise(text: str, at: int, root: dict) -> tuple[str, int, int] | None:
 
 
 def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
-    """(identifier, start, end, number of the sentence) of each known sentence, in order."""
-    found, upto, number = [], 0, 0
-    starts = {w for w in root}
-    for at in [0, *(m.end() for m in BREAK.finditer(text))]:
-        number += 1
-        if at < upto:
-            continue
-        m = WORD.search(text, at, at + 80)
-        if m and m[0].lower() in starts and (known := recognise(text, m.start(), root)):
-            found.append((*known, number))
-            upto = known[2]
+    """(identifier, start, end, number of the sentence) of each known sentence, in order.
+
+    A known sentence counts as one, whatever breaks are in it. An unknown one goes on over line breaks and over marks
+    inside a word (addresses, versions), up to a mark before white space, a line without words or a known sentence.
+    """
+    found, upto, number, fresh = [], 0, 0, True
+    starts, at, mark = set(root), 0, "\n"
+    for m in chain(BREAK.finditer(text), (None,)):
+        end = m.start() if m else len(text)
+        if at >= upto:
+            first = WORD.search(text, at, end)
+            after = text[at : at + 1]
+            if not first:
+                fresh = fresh or "\n" in mark
+            elif first[0].lower() in starts and (known := recognise(text, first.start(), root)):
+                number += 1
+                found.append((*known, number))
+                upto, fresh = known[2], True
+            else:
+                closed = mark.count("\n") > 1 or mark.strip("\n") and ("\n" in mark or not (after.isalnum() or after == "/"))
+                number += bool(fresh or closed)
+                fresh = False
+        if m:
+            at, mark = m.end(), m[0]
     return found
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -146,6 +147,46 @@ def test_licenses(spark):
     assert got == {1: "MIT", 2: "", 3: "CC-BY-NC-4.0", 4: "GPL-3.0", 5: "MIT", 6: "", 7: "", 8: "", 9: "Apache-2.0", 10: ""}
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; ", "-- "])
+@pytest.mark.parametrize("width", [100, 78, 60, 40])
+def test_licenses_wrapped(width, mark):
+    for name, text in (("MIT", MIT), ("Apache-2.0", APACHE), ("BSD-3-Clause", BSD)):
+        wrapped = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+        marked = "\n".join(mark + line for line in ["", *wrapped.split("\n")])
+        end = len(marked)
+        found = licenses.sentences(marked + ".\n", licenses.tree())
+        assert licenses.apply_rules(found) == [(name, 1 + 2 * len(mark), end)], (name, found)
+
+
+def test_licenses_gap():
+    root, (grant, keep) = licenses.tree(), MIT.split("\n\n")[:2]
+    unknown = "Some other sentence of version 1.2, see\nhttp://a.b/c.d?e=f;g,\nwrapped over lines\nmore than once.\n"
+    for n, want in ((0, ["MIT"]), (4, ["MIT"]), (5, [])):
+        text = f"{grant}\n{unknown * n}{keep}\n"
+        assert [r[0] for r in licenses.apply_rules(licenses.sentences(text, root))] == want
+    far = "." + " " * 200 + "Released under the MIT License."
+    assert [r[0] for r in licenses.apply_rules(licenses.sentences(far, root))] == ["MIT"]
+
+
 def brute_base(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
