@@ -27,6 +27,7 @@ from tessera.operators import stats as ST
 from tessera.operators import synth as SY
 from tessera.operators import tokens as K
 from tessera.operators import toolcalls as TC
+from tessera.plans.queries import QUERIES
 from tessera.sources import catalog as SO
 from tessera.streaming import scores as STREAM
 
@@ -91,6 +92,21 @@ def test_frames(spark):
         assert one(spark, M.frame_indices(F.lit(total).cast("long"), F.lit(n).cast("long"))) == np.linspace(0, total - 1, n).astype(int).tolist()
 
 
+def test_frame_plan_of_every_part(spark, tmp_path):
+    import numpy as np
+
+    parts = [1, 2, 5, 10, 11, 419, 4999, 5003, 9997]
+    spark.createDataFrame([(k,) for k in parts], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    want = []
+    for k in parts:
+        total, fps = k % 5000 + 1, k % 5 * 7.5
+        if fps:
+            n = min(int(min(max(round(total / fps), 4), 420)), total)
+            want += [(k, i, f) for i, f in enumerate(np.linspace(0, total - 1, n).astype(int).tolist())]
+    got = [tuple(r) for r in QUERIES["frame_plan_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == want and {k for k, _, _ in want} == {1, 2, 11, 419, 4999, 5003, 9997}
+
+
 def test_media_tokens(spark):
     df = spark.createDataFrame([(280, 280, None), (0, 10, None), (None, 10, None), (280, 280, 5)], "h int, w int, f int")
     assert [r["x"] for r in df.select(E.media_tokens(F.col("h"), F.col("w"), F.col("f")).alias("x")).collect()] == [100, -1, -1, 250]
