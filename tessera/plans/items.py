@@ -222,22 +222,22 @@ def pearson_pvalue_mask(t):
 
 
 def _docs_to_pack(t):
-    return t("documents").select("doc_id", F.least(F.col("n_chars"), F.lit(8000)).alias("size"))
+    return t("documents").select("doc_id", F.col("n_chars").alias("size"))
 
 
 @query()
 def pack_ffd(t):
-    return P.pack(_docs_to_pack(t), "doc_id", "size", 8000, ranges=8)
+    return P.pack(_docs_to_pack(t), "doc_id", "size", 8000, isolate=True, ranges=8)
 
 
 @query()
 def pack_stats(t):
-    return P.pack_stats(P.pack(_docs_to_pack(t), "doc_id", "size", 8000, ranges=8), "size")
+    return P.pack_stats(P.pack(_docs_to_pack(t), "doc_id", "size", 8000, isolate=True, ranges=8), "size")
 
 
 @query()
 def pack_gather(t):
-    packed = P.pack(_docs_to_pack(t), "doc_id", "size", 8000, ranges=8)
+    packed = P.pack(_docs_to_pack(t), "doc_id", "size", 8000, isolate=True, ranges=8)
     out = P.gather(packed, t("documents").select("doc_id", "source"), "doc_id", "source")
     return out.select("bin_id", F.array_join("values", ",").alias("sources"))
 

@@ -177,6 +177,19 @@ def test_packing_cases(spark):
     assert (stats["bins"], stats["items"], stats["most"], stats["least"], stats["load"]) == (2, 3, 2, 1, 10)
 
 
+def test_pack_queries_keep_whole_sizes(spark, tmp_path):
+    sizes = [3, 8000, 8001, 20_000, 5000, 3000, 128_657]
+    rows = [(i, f"s{i}", n) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["pack_ffd"](spark, str(tmp_path)).collect()}
+    assert [got[i]["size"] for i in range(len(sizes))] == sizes
+    bins = [got[i]["bin_id"] for i in range(len(sizes))]
+    assert len({bins[k] for k in (0, 1, 2, 3, 4, 6)}) == 6 and bins[4] == bins[5]
+    stats = QUERIES["pack_stats"](spark, str(tmp_path)).first()
+    assert (stats["bins"], stats["items"], stats["most"], stats["load"]) == (6, 7, 2, 128_657)
+    assert sorted(r["sources"] for r in QUERIES["pack_gather"](spark, str(tmp_path)).collect()) == ["s0", "s1", "s2", "s3", "s4,s5", "s6"]
+
+
 @pytest.mark.parametrize("ranges", [None, 4])
 def test_positions_and_shards(spark, ranges):
     df = spark.range(0, 211, 2).withColumn("split", (F.col("id") % 3).cast("string"))
