@@ -234,9 +234,16 @@ def shuffle_halves(t):
 
 @query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100")
 def sort_by_size(t):
+    """A top-k report: the 100 longest documents. order_by_size has all."""
     return t("documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(100)
 
 
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id")
+def order_by_size(t):
+    """All documents in order of size, range by range; ties by doc_id."""
+    return t("documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id")
+
+
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE n_chars <= 2000 AND lang = 'en'")
 def length_filter(t):
     return R.keep(t("documents").select("doc_id", "lang", "n_chars"), size=F.col("n_chars") <= 2000, lang=F.col("lang") == "en")

@@ -190,6 +190,13 @@ def test_pack_queries_keep_whole_sizes(spark, tmp_path):
     assert sorted(r["sources"] for r in QUERIES["pack_gather"](spark, str(tmp_path)).collect()) == ["s0", "s1", "s2", "s3", "s4,s5", "s6"]
 
 
+def test_order_by_size_is_whole(spark, tmp_path):
+    rows = [(i, i * 37 % 50) for i in range(333)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["order_by_size"](spark, str(tmp_path)).collect()]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))
+
+
 @pytest.mark.parametrize("ranges", [None, 4])
 def test_positions_and_shards(spark, ranges):
     df = spark.range(0, 211, 2).withColumn("split", (F.col("id") % 3).cast("string"))
