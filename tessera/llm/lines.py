@@ -168,6 +168,54 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([s], pa.int32()), pa.array([f.to_bytes()], pa.binary())], names=["shard", "blob"])
 
 
+def state(docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """(references, filters) of docs, to be changed by insert() and delete()."""
+    refs = materialize(references(docs, shards).distinct(), "line-references")
+    return refs, materialize(filters(counts(refs).where("keeper < last")), "line-filters")
+
+
+def insert(refs: DataFrame, blobs: DataFrame, docs: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
+    """The state with docs added; shards is that of state(). A key that a document has already isn't counted again."""
+    new = references(docs, shards).distinct().join(refs, ["shard", "h1", "h2", "id"], "left_anti")
+    new = materialize(new, "line-references-new")
+    after = materialize(refs.unionByName(new), "line-references")
+    return after, _follow(refs, after, new, blobs)
+
+
+def delete(refs: DataFrame, blobs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state without the documents of ids (doc_id); a null stands for the rows without one."""
+    gone = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).distinct()
+    after = materialize(refs.join(gone, "id", "left_anti").select(*refs.columns), "line-references")
+    return after, _follow(refs, after, refs.join(gone, "id", "left_semi"), blobs)
+
+
+def _follow(before: DataFrame, after: DataFrame, touched: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The filters with those of the touched keys that became due inserted, and those that are due no longer deleted."""
+    keys = ["shard", "h1", "h2"]
+    touched = touched.select(*keys).distinct()
+    was, now = (counts(x.join(touched, keys, "left_semi")).where("keeper < last").select(*keys) for x in (before, after))
+    none = F.lit(None)
+    moves = now.join(was, keys, "left_anti").withColumn("due", F.lit(True)).unionByName(was.join(now, keys, "left_anti").withColumn("due", F.lit(False)))
+    rows = moves.select("shard", "h1", "due", none.cast("binary").alias("blob")).unionByName(blobs.select("shard", none.cast("long").alias("h1"), none.cast("boolean").alias("due"), "blob"))
+    moved = materialize(rows.groupBy("shard").applyInArrow(_move, "shard int, blob binary"), "line-filters-moved")
+    full = counts(after.join(moved.where("blob is null").select("shard"), "shard", "left_semi")).where("keeper < last")
+    return materialize(moved.where("blob is not null").unionByName(filters(full)), "line-filters")
+
+
+def _move(rows: pa.Table) -> pa.Table:
+    """A shard's filter after its moves; null if it must be built anew, as it is missing, one of several or too full."""
+    old = [x for x in rows["blob"].to_pylist() if x is not None]
+    moves = rows.filter(rows["h1"].is_valid())
+    h, due, blob = moves["h1"].to_numpy().view(np.uint64), np.array(moves["due"].to_pylist(), bool), None
+    if len(old) == 1:
+        f = CuckooFilter.from_bytes(old[0])
+        f.delete(h[~due])
+        if int((f.table > 0).sum()) + int(due.sum()) <= 0.84 * f.table.size:
+            f.insert(h[due])
+            blob = f.to_bytes()
+    return pa.table({"shard": pa.array([rows["shard"][0].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+
 def filters(shared: DataFrame) -> DataFrame:
     """(shard, blob) over the keys of (shard, h1, ...); a shard's filter holds some two bytes a key."""
     return shared.select("shard", "h1").repartition(partitions(shared.sparkSession), "shard").mapInArrow(_build, "shard int, blob binary")

@@ -104,6 +104,40 @@ def test_reference_counts_undo_an_insertion(spark, rows):
     assert as_set(left) == as_set(one)
 
 
+def test_lines_insert_and_delete_follow_in_filters(spark, rows):
+    docs, shards = table(spark, rows), 4
+    as_set = lambda df: {tuple(r) for r in df.collect()}
+    counted = lambda refs: as_set(lines.counts(refs).select("h1", "h2", "n", "keeper"))
+
+    def agrees(refs, blobs, whole):
+        built, _ = lines.state(whole, shards)
+        assert counted(refs) == counted(built)
+        held = {r["shard"]: lines.CuckooFilter.from_bytes(r["blob"]) for r in blobs.collect()}
+        assert len(held) == blobs.count()
+        due, rest = defaultdict(list), defaultdict(list)
+        for r in lines.counts(built).collect():
+            (due if r["keeper"] < r["last"] else rest)[r["shard"]].append(r["h1"])
+        assert all(held[s].contains(np.array(h, np.int64).view(np.uint64)).all() for s, h in due.items())
+        assert {s: int((f.table > 0).sum()) + len(f.stash) for s, f in held.items() if (f.table > 0).any()} == {s: len(h) for s, h in due.items()}
+        assert sum(held[s].contains(np.array(h, np.int64).view(np.uint64)).sum() for s, h in rest.items() if s in held) <= 2
+        passed = lines.candidates(refs, blobs).join(lines.counts(refs).where("keeper < last").select("h1", "h2", "keeper"), ["h1", "h2"]).where("id > keeper")
+        want = {r["id"]: {tuple(k) for k in r["keys"]} for r in lines.drops(whole, shards).collect()}
+        got = defaultdict(set)
+        for r in passed.collect():
+            got[r["id"]].add((r["h1"], r["h2"]))
+        assert got == want
+
+    first, batch = docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 > 0")
+    refs, blobs = lines.state(first, shards)
+    refs, blobs = lines.insert(refs, blobs, batch, shards)
+    agrees(refs, blobs, docs)
+    refs, blobs = lines.insert(refs, blobs, batch, shards)  # once more: nothing to add
+    refs, blobs = lines.delete(refs, blobs, docs.where("doc_id % 4 = 2"))
+    agrees(refs, blobs, docs.where("doc_id % 4 != 2"))
+    refs, blobs = lines.delete(refs, blobs, docs.where("doc_id % 4 != 2"))
+    assert refs.count() == 0 and not any(lines.CuckooFilter.from_bytes(r["blob"]).table.any() for r in blobs.collect())
+
+
 def test_merkle_neighbours_and_likeness(spark, rows):
     got = {r["doc_id"]: r for r in merkle.fingerprints(table(spark, rows)).collect()}
     order = sorted(((i, t or "") for i, t, _ in rows), reverse=True)
