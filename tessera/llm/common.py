@@ -33,14 +33,31 @@ def scratch_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables that materialize() wrote and release() has not deleted yet.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back, so that later passes and lost executors don't compute it again."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables of materialize() but for the first ``since``; call it when the results that read them are written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while len(_written) > since:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def written() -> int:
+    return len(_written)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows and bytes of an Arrow batch where the session still has Spark's defaults."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -51,6 +68,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: A key of more than 1/HOT of the rows is hot; there are fewer than HOT of them, the bound that a broadcast needs.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows left-joined with side on keys, the first a long; side has one row for a key, and in ``count`` how many of
+    rows have it.
+
+    Hot keys are broadcast, the others are joined by a shuffle; there, rows of hot keys are dealt by a hash of all
+    their columns, so that no key gathers its rows in one task. Null keys find nothing. side is read three times: it
+    should be a written table, or cheap.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot, more = F.col(count) * HOT > total, [c for c in side.columns if c not in keys]
+    few = side.where(hot).select(*keys, F.struct(*more).alias("_hot"))
+    rest = side.where(~hot).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.struct(*more).alias("_cold"))
+    cold = F.col("_hot").isNull()
+    marked = rows.join(F.broadcast(few), keys, "left").withColumn("_first", F.when(cold, F.col(keys[0])).otherwise(F.xxhash64(*rows.columns)))
+    on = cold & (F.col("_first") == F.col(f"_of_{keys[0]}"))
+    for k in keys[1:]:
+        on &= F.col(k) == F.col(f"_of_{k}")
+    return marked.join(rest, on, "left").select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in more])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,23 +101,33 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
-    """UTF-8 bytes of each value; a null is empty."""
+    """The bytes of each value; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    return [x or "" for x in column.to_pylist()]
+    """Each value, a null as an empty text; bytes that are not UTF-8 count as U+FFFD."""
+    try:
+        return [x or "" for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [x.decode("utf-8", "replace") for x in raw_texts(column)]
+
+
+#: Longer words are looked up anew each time: so what a cache holds is bounded in bytes, too.
+LONG_WORD = 64
 
 
 class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, remembered up to a bound."""
+    """Word (bytes) to its 64-bit hash; at most LIMIT words of at most LONG_WORD bytes are remembered."""
 
     LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
