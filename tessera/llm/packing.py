@@ -49,10 +49,11 @@ class Words:
     """Token ids of texts, by white-space-free chunks that are remembered up to a bound.
 
     The tokenizer drops white space and joins nothing across it, so the ids of a text are those of its chunks in
-    turn. Texts that spell a special token are given to the tokenizer whole.
+    turn. Texts that spell a special token are given to the tokenizer whole. At most LIMIT chunks of at most LONG
+    characters are kept in each of two generations, some 100 MB each; longer ones are tokenised each time.
     """
 
-    LIMIT = 400_000
+    LIMIT, LONG = 400_000, 48
     MARKS = ".,;:!?"
     #: By path: a worker process keeps what it has learned from one task to the next.
     kept: dict[str, Words] = {}
@@ -76,15 +77,19 @@ class Words:
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """A run of punctuation behind letters alone is a token run of its own; both parts are looked up apart."""
+    def _learn(self, chunks: set[str]) -> set[str]:
+        """A run of punctuation behind plain letters is a token run of its own; both parts are looked up apart.
+
+        Plain letters are those of Latin-1: normalising leaves each of them one letter. Others may turn into a letter
+        and a mark, to which the punctuation is then joined.
+        """
         known, old, wanted, split = self.known, self.old, set(), []
         for c in chunks:
             if c in old:
                 known[c] = old[c]
                 continue
             head = c.rstrip(self.MARKS)
-            if len(head) < len(c) and head.isalpha():
+            if len(head) < len(c) and head.isalpha() and max(head) <= "\xff":
                 tail = c[len(head) :]
                 split.append((c, head, tail))
                 wanted.add(head)
@@ -95,6 +100,7 @@ class Words:
         known.update(zip(new, self._ids(new), strict=True))
         for c, head, tail in split:
             known[c] = known[head] + known[tail]
+        return wanted
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -105,10 +111,15 @@ class Words:
         new: set[str] = set()
         for own in chunks:
             new.update(own)
-        self._learn(new - self.known.keys())
+        new -= self.known.keys()
+        new |= self._learn(new)
         direct = dict(zip(whole, self._ids([batch[i] for i in whole]), strict=True))
         get = self.known.__getitem__
-        return [direct[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
+        out = [direct[i] if i in whole else b"".join(map(get, own)) for i, own in enumerate(chunks)]
+        for c in new:
+            if len(c) > self.LONG:
+                self.known.pop(c, None)
+        return out
 
 
 class Windows:
