@@ -113,6 +113,8 @@ WILD, GAP = 8, 4
 
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.IGNORECASE)
 BREAK = re.compile(r"[\n.;:!?]+")
+#: First words of notices that may stand behind other words of their sentence ("This file is released under ...").
+NOTICE = re.compile(r"(?<![a-z0-9])(?:released|licensed|spdx)(?![a-z0-9])", re.IGNORECASE)
 END = re.compile(r"[\s\"'”’)\]*/#-]*(?:[.;:!?,\n(\"]|\Z)|\s*\n")
 
 
@@ -149,10 +151,16 @@ def recognise(text: str, at: int, root: dict) -> tuple[str, int, int] | None:
     return best
 
 
+def notice(text: str, at: int, end: int, root: dict) -> tuple[str, int, int] | None:
+    """The first known sentence that starts with a word of NOTICE in text[at:end]."""
+    return next((known for m in NOTICE.finditer(text, at, end) if (known := recognise(text, m.start(), root))), None)
+
+
 def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
     """(identifier, start, end, number of the sentence) of each known sentence, in order.
 
-    A known sentence counts as one, whatever breaks are in it. An unknown one goes on over line breaks and over marks
+    A known sentence starts with its line or sentence, a notice also behind other words of it. It counts as one,
+    whatever breaks are in it and words before it. An unknown one goes on over line breaks and over marks
     inside a word (addresses, versions), up to a mark before white space, a line without words or a known sentence.
     """
     found, upto, number, fresh = [], 0, 0, True
@@ -164,7 +172,7 @@ def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
             after = text[at : at + 1]
             if not first:
                 fresh = fresh or "\n" in mark
-            elif first[0].lower() in starts and (known := recognise(text, first.start(), root)):
+            elif (first[0].lower() in starts and (known := recognise(text, first.start(), root))) or (known := notice(text, at, end, root)):
                 number += 1
                 found.append((*known, number))
                 upto, fresh = known[2], True
@@ -178,24 +186,33 @@ def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
 
 
 def apply_rules(found: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int]]:
-    """(licence, start, end), in order of place; a sentence serves one rule."""
+    """(licence, start, end), in order of place; a sentence serves one rule.
+
+    A rule goes once over the sentences that earlier rules left. Known sentences have numbers that rise, so at most
+    GAP + 1 of them lie between two of a rule, and the work is linear in the sentences.
+    """
     free, out = list(found), []
+    present = {f[0] for f in found}
     for licence, needed in RULES:
-        i = 0
-        while i < len(free):
-            took, j = [], i
-            for name in needed:
-                while j < len(free) and free[j][0] != name and took and free[j][3] - took[-1][3] <= GAP + 1:
+        if not present.issuperset(needed):
+            continue
+        used = [False] * len(free)
+        for i, first in enumerate(free):
+            if used[i] or first[0] != needed[0]:
+                continue
+            took, j = [i], i
+            for name in needed[1:]:
+                last, j = free[j][3], j + 1
+                while j < len(free) and free[j][3] - last <= GAP + 1 and (used[j] or free[j][0] != name):
                     j += 1
-                if j >= len(free) or free[j][0] != name or (took and free[j][3] - took[-1][3] > GAP + 1):
+                if j >= len(free) or free[j][3] - last > GAP + 1:
                     break
-                took.append(free[j])
-                j += 1
+                took.append(j)
             if len(took) == len(needed):
-                out.append((licence, took[0][1], took[-1][2]))
-                free = [f for f in free if f not in took]
-            else:
-                i += 1
+                out.append((licence, first[1], free[took[-1]][2]))
+                for k in took:
+                    used[k] = True
+        free = [f for f, gone in zip(free, used, strict=True) if not gone]
     return sorted(out, key=lambda x: x[1:])
 
 
