@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, texts
+from .common import LONG_WORD, materialize, small_batches, texts
 
 TRAIN_ROWS = 10_000
 LEXICON = 2_000
@@ -35,6 +35,8 @@ INNER = re.compile(r"[^\W\d_][\d@$!*|._-]+[^\W\d_]")
 LONG = re.compile(r"(.)\1\1")
 FEATURES = ("hits_share", "hits_log", "odds_top", "odds_share", "stem_share", "stem_log", "near_you", "you_share", "capitals", "calls", "punctuation", "obfuscated", "obfuscated_hits", "long_log", "elongated", "words_log")
 NEAR = 5
+#: Share of the uncalibrated value in a score.
+TIE = 1e-6
 
 
 def bare(word: str) -> str:
@@ -46,7 +48,10 @@ def units(word: str) -> list[str]:
 
 
 class Lexicon(dict):
-    """Raw word to the number of its marks, remembered up to a bound; marks: log odds of the word, of its stem, bits."""
+    """Raw word to the number of its marks; marks: log odds of the word, of its stem, bits.
+
+    Words of up to LONG_WORD characters are remembered, up to a bound.
+    """
 
     LIMIT = 300_000
     HIT, STEM, SECOND, ODD, ODD_HIT, ELONGATED = 1, 2, 4, 8, 16, 32
@@ -69,14 +74,15 @@ class Lexicon(dict):
         return odds, stem, bits
 
     def __missing__(self, raw: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
         marks = self.look_up(raw)
         number = self.numbers.get(marks)
         if number is None:
             number = self.numbers[marks] = len(self.numbers)
             self.marks = np.array(list(self.numbers))
-        self[raw] = number
+        if len(raw) <= LONG_WORD:
+            if len(self) >= self.LIMIT:
+                self.clear()
+            self[raw] = number
         return number
 
 
@@ -192,14 +198,14 @@ class Model:
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """The calibrated value, with a small share of the plain one to keep the order within a step."""
+        """The calibrated value; a millionth of the plain one keeps the order within a step."""
         if self.trees is None:
             return np.full(len(x), self.prior)
         margin = self.trees.margin(x)
         plain = 1 / (1 + np.exp(-margin))
         if self.knots is None:
             return plain
-        return np.clip(0.9 * np.interp(margin, *self.knots) + 0.1 * plain, 0.0, 1.0)
+        return np.clip((1 - TIE) * np.interp(margin, *self.knots) + TIE * plain, 0.0, 1.0)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
