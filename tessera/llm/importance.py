@@ -13,8 +13,9 @@ documents times the share of good ones among all labels.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, raw_texts, rolling, small_batches
+from .common import LONG_WORD, materialize, mix64, raw_texts, rolling, small_batches
 
 TARGET_ROWS = 10_000
 #: Buckets of words and pairs, and of shapes (powers of two); the models have the sum of both.
@@ -34,20 +35,27 @@ PRIOR = 0.5
 EMPTY = -1000.0
 #: Range of a document's log ratio; beyond it, a Gumbel variate decides nothing.
 BOUND = 500.0
-TAIL = re.compile(rb"[^A-Za-z0-9\x80-\xff]*\Z")
+#: Bytes of text that are measured together.
+GROUP_BYTES = 1 << 20
+#: ASCII bytes that are no letter or digit: the marks behind a word.
+MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
+DIGITS = b"0123456789"
+
+
+@lru_cache(maxsize=100_000)
+def _shape(case: int, length: int, digits: bool, tail: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(b"%d %d %d %b" % (case, length, digits, tail))
 
 
 def shape(word: bytes) -> int:
     """A number for case, length and the marks behind a word."""
-    tail = TAIL.search(word)[0]
-    body = word[: len(word) - len(tail)]
+    body = word.rstrip(MARKS)
     case = 0 if body.islower() else 1 if body.isupper() and len(body) > 1 else 2 if body[:1].isupper() else 3
-    digits = any(48 <= c < 58 for c in body)
-    return xxhash.xxh3_64_intdigest(b"%d %d %d %b" % (case, min(len(body), 20) // 4, digits, tail[:4]))
+    return _shape(case, min(len(body), 20) // 4, len(body.translate(None, DIGITS)) < len(body), word[len(body) :][:4])
 
 
 class Known(dict):
-    """Word to its number in two tables, the hashes of words and of shapes; remembered up to a bound."""
+    """Word to its number in two tables, the hashes of words and of shapes; words are remembered up to a bound."""
 
     LIMIT = 300_000
 
@@ -55,37 +63,58 @@ class Known(dict):
         super().__init__()
         self.word, self.form = np.zeros(self.LIMIT, np.uint64), np.zeros(self.LIMIT, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.word[at], self.form[at] = xxhash.xxh3_64_intdigest(word.lower()), shape(word)
-        return at
-
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) + len(words) > self.LIMIT:
+        new = set(words).difference(self)
+        if len(self) + len(new) > self.LIMIT:
             self.clear()
-            if len(words) > self.LIMIT:  # a huge text: its words are not remembered
-                return np.array([xxhash.xxh3_64_intdigest(w.lower()) for w in words], np.uint64), np.array([shape(w) for w in words], np.uint64)
+            new = set(words)
+        if len(new) > self.LIMIT or max(map(len, new), default=0) > LONG_WORD:  # huge texts and words are not remembered
+            own = {w: (xxhash.xxh3_64_intdigest(w.lower()), shape(w)) for w in set(words)}
+            return tuple(np.fromiter((own[w][k] for w in words), np.uint64, len(words)) for k in (0, 1))
+        begin, own = len(self), list(new)
+        self.update(zip(own, range(begin, begin + len(own)), strict=True))
+        self.word[begin : len(self)] = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in own), np.uint64, len(own))
+        self.form[begin : len(self)] = np.fromiter(map(shape, own), np.uint64, len(own))
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         return self.word[at], self.form[at]
 
 
-def buckets(text: bytes, known: Known) -> np.ndarray:
-    """The bucket of each n-gram of a text."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.int64)
-    word, form = known.of(words)
-    form[1:][word[1:] == word[:-1]] ^= np.uint64(0x5BD1E995)
-    words_in = [rolling(word, n) & np.uint64(WORD_BUCKETS - 1) for n in (1, 2)]
-    shapes_in = [mix64(rolling(form, n) + np.uint64(n)) & np.uint64(SHAPE_BUCKETS - 1) | np.uint64(WORD_BUCKETS) for n in (1, 2, 3)]
-    return np.concatenate(words_in + shapes_in).astype(np.int64)
+def buckets(texts: list[bytes], known: Known) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, bucket) of each n-gram of the texts, kind by kind of n-gram."""
+    words = [t.split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    word, form = known.of(list(chain.from_iterable(words)))
+    owner, last = np.repeat(np.arange(len(texts)), n), np.repeat(np.cumsum(n), n)
+    form = form.copy()
+    again = np.flatnonzero((word[1:] == word[:-1]) & (owner[1:] == owner[:-1])) + 1
+    form[again] ^= np.uint64(0x5BD1E995)
+    at = np.arange(len(word))
+    for width in (1, 2, 3):
+        inside = at[at + width <= last]
+        if width < 3:
+            yield owner[inside], (rolling(word, width)[inside] & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)
+        yield owner[inside], (mix64(rolling(form, width)[inside] + np.uint64(width)) & np.uint64(SHAPE_BUCKETS - 1) | np.uint64(WORD_BUCKETS)).astype(np.int64)
+
+
+def groups(texts: list[bytes], most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """Runs of texts of about ``most`` bytes; a longer text is alone."""
+    part, held = [], 0
+    for text in texts:
+        if part and held + len(text) > most:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text)
+    if part:
+        yield part
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, total = Known(), np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        own = [buckets(text, known) for text in raw_texts(batch.column(0))]
-        total += np.bincount(np.concatenate([*own, np.zeros(0, np.int64)]), minlength=BUCKETS)
+        for part in groups(raw_texts(batch.column(0))):
+            for _, at in buckets(part, known):
+                total += np.bincount(at, minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
@@ -108,14 +137,20 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.n
     return out
 
 
+def scores(texts: list[bytes], ratio: np.ndarray, known: Known) -> np.ndarray:
+    """The log ratio of each text, within BOUND; EMPTY for one without words."""
+    out, some = np.zeros(len(texts)), np.zeros(len(texts), bool)
+    for owner, at in buckets(texts, known):
+        out += np.bincount(owner, ratio[at], len(texts))
+        some[owner] = True
+    return np.where(some, np.clip(out, -BOUND, BOUND), EMPTY)
+
+
 def _score(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa.RecordBatch]:
     known = Known()
     for batch in batches:
-        scores = []
-        for text in raw_texts(batch.column(0)):
-            at = buckets(text, known)
-            scores.append(min(BOUND, max(-BOUND, float(ratio[at].sum()))) if len(at) else EMPTY)
-        yield pa.record_batch([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(scores, pa.float64())], names=[*batch.schema.names[1:], "_tessera_weight"])
+        own = [scores(part, ratio, known) for part in groups(raw_texts(batch.column(0)))]
+        yield pa.record_batch([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(np.concatenate([*own, np.zeros(0)]))], names=[*batch.schema.names[1:], "_tessera_weight"])
 
 
 def gumbel(seed: str):
@@ -146,7 +181,7 @@ def threshold(keys: DataFrame, k: int, bins: int = 4096, small: int = 20_000) ->
             k -= r["n"]
     inside = keys.where((F.col("key") >= lo) & (F.col("key") <= hi))
     if left > small:  # one key for all: the ids decide
-        ids = inside.select((-F.col("id").cast("double")).alias("key"), F.col("id"))
+        ids = inside.select(F.bitwise_not(F.col("id").cast("long")).alias("key"), F.col("id"))
         return lo, threshold(ids, k)[1] if ids.select("id").distinct().count() > 1 else inside.first()["id"]
     rows = sorted(((-r["key"], r["id"]) for r in inside.collect()))
     return -rows[k - 1][0], rows[k - 1][1]
