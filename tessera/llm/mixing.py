@@ -5,11 +5,13 @@ hash of its doc_id in (0, 1) and w its quality weight; higher keys go first.
 A source takes as many complete epochs as its target holds, then documents in
 key order up to the token budget that is left.
 
-The prefix sums need no sort of a whole source. Keys fall into equal slices of
-(0, 1); sizes are summed by source and slice (with map-side combine), slices
-are prefix-summed, and only the slice that the budget ends in is sorted by
+The prefix sums need no sort of a whole source. Keys fall into slices; sizes
+are summed by source and slice (with map-side combine), slices are
+prefix-summed, and only the slice that the budget ends in is sorted by
 document. What is gathered for a source is bounded by the number of slices,
-however many rows the source holds.
+however many rows the source holds. Slices are equal steps of key^LEAST, with
+LEAST the least weight: for a weight w that is u^(LEAST/w), so no slice has
+more than w/LEAST times its share of the documents of that weight.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, text_or_empty
 
-#: Slices of the keys of a source. A slice of a source of ten billion documents holds some five million slim rows.
-SLICES = 2048
+#: Slices of the keys of a source: that of a source of ten billion documents holds 1.2 million slim rows, six million
+#: at most.
+SLICES = 8192
+#: Least quality weight: a quarter, so that key^LEAST is two square roots, which keep the order of keys exactly.
+LEAST = 0.25
 #: The plan has a row for each source; up to this many (a few MB) it is broadcast.
 BROADCAST_SOURCES = 20_000
 SALTS = 64
 
 
 def quality_weight(size: Column) -> Column:
-    """Default quality weight: rises with the size up to 400 words."""
-    return F.lit(0.25) + F.least(size, F.lit(400)) / F.lit(400.0)
+    """Quality weight where no column of docs has one: rises with the size up to 400 words."""
+    return F.lit(LEAST) + F.least(size, F.lit(400)) / F.lit(400.0)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -57,26 +62,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     )
 
 
-def sized(docs: DataFrame, weight=quality_weight, seed: str = "mix", slices: int = SLICES, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, key, slice) and the columns named by extra."""
+def sized(docs: DataFrame, weight=quality_weight, seed: str = "mix", slices: int = SLICES, extra: tuple[str, ...] = (), quality: str | None = None) -> DataFrame:
+    """(doc_id, source, size, key, slice) and the columns named by extra.
+
+    quality names a column of weights, such as a classifier's; weights below LEAST count as LEAST, and a null or NaN has
+    the weight by size.
+    """
     unit = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+    given = F.col(f"`{quality}`").cast("double") if quality else F.lit(None).cast("double")
     size = F.size(F.expr(f"regexp_extract_all(coalesce(cast(text as string), ''), r'{WORD}', 0)")).cast("long")
     return (
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), unit.alias("_u"), *extra)
-        .withColumn("key", F.pow("_u", 1.0 / weight(F.col("size"))))
-        .drop("_u")
-        .withColumn("slice", F.least(F.floor((1 - F.col("key")) * slices), F.lit(slices - 1)).cast("int"))
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), unit.alias("_u"), given.alias("_q"), *extra)
+        .withColumn("key", F.pow("_u", 1.0 / F.when(F.col("_q").isNull() | F.isnan("_q"), weight(F.col("size"))).otherwise(F.greatest("_q", F.lit(LEAST)))))
+        .drop("_u", "_q")
+        .withColumn("slice", F.least(F.floor((1 - F.sqrt(F.sqrt("key"))) * slices), F.lit(slices - 1)).cast("int"))
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, weight=quality_weight, seed: str = "mix", slices: int = SLICES, extra: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, weight=quality_weight, seed: str = "mix", slices: int = SLICES, extra: tuple[str, ...] = (), quality: str | None = None) -> DataFrame:
     """Rows of docs with size, source_size, target, copies (0 to cap) and taken = size * copies.
 
     Documents are taken whole; the one that the budget ends in is taken if that comes nearer to the target.
     A null text has size 0. A null source is a source, the last. Null and repeated doc_ids: rows that share an
     id share a key and are taken together. An empty table gives an empty result. Other columns play no part.
     """
-    slim = materialize(sized(docs, weight, seed, slices, extra), "mixing")
+    slim = materialize(sized(docs, weight, seed, slices, extra, quality), "mixing")
     by_slice = slim.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     by_source = by_slice.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
     source_size = F.when(F.col("source_size") > 0, F.col("source_size"))
@@ -110,9 +120,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     copies = F.col("epochs") + F.when(F.coalesce(chosen, F.lit(False)), 1).otherwise(0)
     if plan.count() <= BROADCAST_SOURCES:
         joined = slim.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source")))
-    else:  # a hot source is spread over SALTS tasks, and the plan repeated for each
+    else:  # sources are spread over SALTS tasks each, by key, and the plan repeated for each
         salted = plan.withColumn("p_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = slim.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("salt") == F.col("p_salt")))
+        joined = slim.withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS))).join(salted, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("salt") == F.col("p_salt")))
     return (
         joined.withColumn("copies", copies.cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *extra)
