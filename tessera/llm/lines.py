@@ -7,8 +7,8 @@ The state of a corpus is two tables:
 * filters (shard, blob): for each shard, a cuckoo filter of the keys that are due for a look-up. Unlike a Bloom
   filter it takes deletions, so that keys whose count falls leave it again.
 
-Finding the lines to drop goes through the filters: references are dealt by (shard, salt), each task streams over
-its shard's filter and drops the references that the filter rules out, and only the few that pass are joined with
+Finding the lines to drop goes through the filters: references are dealt by shard, a great shard to several tasks
+by its count; each task streams over its shard's filter and drops the references that the filter rules out, and only the few that pass are joined with
 the exact counts. So an answer never rests on the filter alone.
 """
 
@@ -23,12 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, partitions, raw_texts, small_batches
+from .common import join_hot, materialize, mix64, partitions, raw_texts, small_batches
 
 #: Keys of fewer code points are never dropped.
 LEAST = 10
-#: Tasks that a shard's references are spread over, so that a line of a third of all documents stays in no single one.
-SALTS = 16
+#: Most references of a shard that one task screens, and how many times the mean of all shards: a shard that holds a hot
+#: line has more and is spread over several tasks.
+TASK_REFERENCES, TASK_MEANS = 1_000_000, 2
 STRIP = b" \t\n\x0b\x0c\r"
 #: Sorts null doc_ids behind all others.
 NO_ID = 2**63 - 1
@@ -242,21 +243,33 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 2, 3, 4]).filter(pa.array(keep))
 
 
-def candidates(refs: DataFrame, blobs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """The references that the filter of their shard doesn't rule out."""
+def candidates(refs: DataFrame, blobs: DataFrame, each: int = TASK_REFERENCES) -> DataFrame:
+    """The references that the filter of their shard doesn't rule out.
+
+    References are counted by shard, and a shard is spread over a task for each ``each`` of them, or TASK_MEANS times the
+    mean of all shards if that is less, with a copy of its filter in each. The counts have a row for each shard, and
+    shards are a parameter: the bound that a broadcast needs.
+    """
     n = partitions(refs.sparkSession)
-    rows = refs.select("shard", F.pmod(F.hash("id"), F.lit(salts)).alias("salt"), "h1", "h2", "id", F.lit(None).cast("binary").alias("blob"))
-    own = blobs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), F.lit(0).cast("long").alias("id"), "blob")
+    sizes = refs.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    most = min(each, max(1.0, TASK_MEANS * (sizes.agg(F.avg("n")).first()[0] or 0.0)))
+    tasks = F.broadcast(sizes.select("shard", F.ceil(F.col("n") / most).cast("int").alias("salts")))
+    rows = refs.join(tasks, "shard").select("shard", F.pmod(F.hash("id", "h2"), F.col("salts")).alias("salt"), "h1", "h2", "id", F.lit(None).cast("binary").alias("blob"))
+    zero = F.lit(0).cast("long")
+    own = blobs.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), zero.alias("h1"), zero.alias("h2"), zero.alias("id"), "blob")
     return rows.unionByName(own).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("blob").isNull()).mapInArrow(_screen, "shard int, h1 long, h2 long, id long")
 
 
 def drops(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """(id, keys): the 16-byte keys whose lines a document loses, as they stay in a document of a smaller id."""
+    """(id, keys): the 16-byte keys whose lines a document loses, as they stay in a document of a smaller id.
+
+    Keys of more than 1/HOT of all references are broadcast to the references that passed, the others are joined.
+    """
     shards = shards or 4 * partitions(docs.sparkSession)
     refs = materialize(references(docs, shards), "line-references")
     shared = materialize(counts(refs).where("keeper < last"), "line-counts")
     passed = candidates(refs, filters(shared))
-    lost = passed.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where("id > keeper")
+    lost = join_hot(passed, shared.select("h1", "h2", "n", "keeper"), ["h1", "h2"], "n").where("id > keeper")
     return lost.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
 
 
@@ -275,7 +288,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.Rec
                 text = b"\n".join(left)
             else:
                 n_dropped.append(0)
-            kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode())
+            kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "replace"))
         rest = [i for i in range(batch.num_columns) if i not in (lost_at, text_at)]
         yield pa.record_batch([*(batch.column(i) for i in rest), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=[*(names[i] for i in rest), "_tessera_lines", "_tessera_dropped", "_tessera_kept"])
 
