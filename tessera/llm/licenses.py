@@ -114,7 +114,8 @@ WILD, GAP = 8, 4
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.IGNORECASE)
 BREAK = re.compile(r"[\n.;:!?]+")
 #: First words of notices that may stand behind other words of their sentence ("This file is released under ...").
-NOTICE = re.compile(r"(?<![a-z0-9])(?:released|licensed|spdx)(?![a-z0-9])", re.IGNORECASE)
+NOTICES = ("released", "licensed", "spdx")
+NOTICE = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(NOTICES)})(?![a-z0-9])", re.IGNORECASE)
 END = re.compile(r"[\s\"'”’)\]*/#-]*(?:[.;:!?,\n(\"]|\Z)|\s*\n")
 
 
@@ -164,7 +165,8 @@ def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
     inside a word (addresses, versions), up to a mark before white space, a line without words or a known sentence.
     """
     found, upto, number, fresh = [], 0, 0, True
-    starts, at, mark = set(root), 0, "\n"
+    starts, at, mark, lower = set(root), 0, "\n", text.lower()
+    inside = any(w in lower for w in NOTICES)
     for m in chain(BREAK.finditer(text), (None,)):
         end = m.start() if m else len(text)
         if at >= upto:
@@ -172,7 +174,7 @@ def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
             after = text[at : at + 1]
             if not first:
                 fresh = fresh or "\n" in mark
-            elif (first[0].lower() in starts and (known := recognise(text, first.start(), root))) or (known := notice(text, at, end, root)):
+            elif (first[0].lower() in starts and (known := recognise(text, first.start(), root))) or (inside and (known := notice(text, at, end, root))):
                 number += 1
                 found.append((*known, number))
                 upto, fresh = known[2], True
