@@ -1,12 +1,12 @@
 """Document fingerprints (native): a Merkle tree over paragraphs and sections; DataFrame functions only.
 
-Leaves are runs of up to CHUNK code points of a paragraph (a line). A paragraph hashes its leaves, a section hashes
-its paragraphs, the root hashes its sections. A section ends behind each paragraph whose hash starts with one of
-four hex digits, so boundaries follow content and an edit moves those around it only. Roots test equality; branches
-that differ locate an edit (``diff``).
+A leaf is a phrase of a paragraph (a line): it ends behind a blank that follows one of the characters ENDS, or after
+LEAF code points. A paragraph hashes its leaves, a section hashes its paragraphs, the root hashes its sections. A
+section ends behind each paragraph whose hash starts with one of four hex digits. So all boundaries follow content,
+and an edit moves those around it only. Roots test equality; branches that differ locate an edit (``diff``).
 
 A fingerprint is the root and a sketch: the SKETCH smallest distinct leaf hashes, which estimate the Jaccard
-likeness of two trees' leaves without keeping all of them.
+likeness of two trees' leaves without keeping all of them; ``exact_likeness`` compares all leaves.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-CHUNK = 48
+#: Most code points of a leaf, and the characters behind which a blank ends one.
+LEAF, ENDS = 96, ".,;:!?dy"
+PHRASE = f"[^\\n]{{0,{LEAF - 1}}}?[{ENDS}] |[^\\n]{{1,{LEAF}}}"
 SKETCH = 128
 #: Range buckets of the neighbour search: at most so many, of about so many documents.
 BUCKETS, BUCKET_DOCS = 4096, 100_000
@@ -25,7 +27,7 @@ NO_ID = -(2**63)
 
 def leaves(text: str) -> Column:
     """Hashes of the leaves of each paragraph, of the column named text."""
-    return F.expr(f"transform(split({text}, '\\n', -1), p -> transform(regexp_extract_all(p, '[^\\n]{{1,{CHUNK}}}', 0), c -> md5(cast(c as binary))))")
+    return F.expr(f"transform(split({text}, '\\n', -1), p -> transform(regexp_extract_all(p, '{PHRASE}', 0), c -> md5(cast(c as binary))))")
 
 
 def paragraphs(tree: str) -> Column:
@@ -71,31 +73,49 @@ def likeness(root_a: str, sketch_a: str, root_b: str, sketch_b: str, size: int =
     return F.expr(f"if({root_a} = {root_b}, 1.0D, if(size({sketch_a}) + size({sketch_b}) = 0, 0.0D, {common}))")
 
 
-def trees(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the whole tree: _tessera_leaves, _tessera_paragraphs, _tessera_sections, _tessera_root."""
-    return (
-        docs.withColumn("_tessera_leaves", leaves(f"coalesce({text}, '')"))
-        .withColumn("_tessera_paragraphs", paragraphs("_tessera_leaves"))
-        .withColumn("_tessera_sections", sections("_tessera_paragraphs"))
-        .withColumn("_tessera_root", root(F.col("_tessera_sections")))
-    )
+def exact_likeness(a: str, b: str) -> Column:
+    """The share of common distinct leaves of two columns of leaves; 1 where neither has any."""
+    a, b = f"flatten({a})", f"flatten({b})"
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, size(array_intersect({a}, {b})) / size(array_union({a}, {b})))")
+
+
+def _changes(nodes: DataFrame, by: str) -> DataFrame:
+    """(by, a_pos, b_pos, change) of nodes (by, side, pos, h): the k-th node of a hash in a stands for the k-th in b.
+
+    change: removed, added, moved (b holds something of a later place before it) or null.
+    """
+    a, b = F.col("side") == "a", F.col("side") == "b"
+    nth = F.row_number().over(Window.partitionBy(by, "side", "h").orderBy("pos"))
+    pairs = nodes.withColumn("nth", nth).groupBy(by, "h", "nth").agg(F.max(F.when(a, F.col("pos"))).alias("a_pos"), F.max(F.when(b, F.col("pos"))).alias("b_pos"))
+    before = F.max("a_pos").over(Window.partitionBy(by).orderBy(F.col("b_pos").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    change = F.when(F.col("b_pos").isNull(), "removed").when(F.col("a_pos").isNull(), "added").when(F.col("before") > F.col("a_pos"), "moved")
+    return pairs.withColumn("before", before).select(by, "a_pos", "b_pos", change.alias("change"))
 
 
-def diff(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """pairs (columns a and b of text) with the sections and paragraphs of b that a lacks, as 0-based positions.
+def diff(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """What turns text a into text b: (by, level, change, a_pos, b_pos), positions from 0.
 
-    Sections that a has too are skipped whole; within the others, paragraphs are compared.
+    by names a column that tells pairs apart. Pairs of equal roots have no rows. Sections that both have are not looked
+    into; those at another place are moved sections. The paragraphs of the other sections are removed, added or moved.
+    A null text is empty. Work is linear in the paragraphs but for sorting those of one text.
     """
-    out = pairs
-    for name, text in (("a", a), ("b", b)):
-        out = out.withColumn(f"_p{name}", F.expr(f"transform(transform(split(coalesce({text}, ''), '\\n', -1), p -> transform(regexp_extract_all(p, '[^\\n]{{1,{CHUNK}}}', 0), c -> md5(cast(c as binary)))), l -> md5(cast(array_join(l, '') as binary)))"))
-        out = out.withColumn(f"_s{name}", sections(f"_p{name}"))
-    changed = lambda kind: F.expr(f"filter(sequence(0, size(_{kind}b) - 1), i -> not array_contains(_{kind}a, _{kind}b[i]))")
-    return out.withColumn("sections_changed", changed("s")).withColumn("paragraphs_changed", changed("p")).drop("_pa", "_pb", "_sa", "_sb")
+    tree = lambda text: paragraphs(f"transform(split({text}, '\\n', -1), p -> transform(regexp_extract_all(p, '{PHRASE}', 0), c -> md5(cast(c as binary))))")
+    both = pairs.select(by, F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")).select(by, tree("a").alias("a"), tree("b").alias("b"))
+    both = both.where(root(sections("a")) != root(sections("b")))
+    sides = both.select(by, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("p")), F.struct(F.lit("b").alias("side"), F.col("b").alias("p")))).alias("t"))
+    nodes = sides.select(by, "t.side", F.posexplode("t.p").alias("pos", "h"))
+    above = Window.partitionBy(by, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = nodes.withColumn("section", F.coalesce(F.sum((F.substring("h", 1, 1) < "4").cast("int")).over(above), F.lit(0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]), "")
+    tops = _changes(nodes.groupBy(by, "side", F.col("section").alias("pos")).agg(F.md5(joined.cast("binary")).alias("h")), by)
+    apart = tops.where("change = 'removed'").select(by, F.lit("a").alias("side"), F.col("a_pos").alias("section")).unionAll(tops.where("change = 'added'").select(by, F.lit("b").alias("side"), F.col("b_pos").alias("section")))
+    inner = _changes(nodes.join(apart, [by, "side", "section"]).select(by, "side", "pos", "h"), by).where("change is not null")
+    out = inner.withColumn("level", F.lit("paragraph")).unionByName(tops.where("change = 'moved'").withColumn("level", F.lit("section")))
+    return out.select(by, "level", "change", F.col("a_pos").cast("int").alias("a_pos"), F.col("b_pos").cast("int").alias("b_pos"))
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """docs (id, text, n, root, sketch) with the text, root and sketch of the next document, by descending id.
+    """docs (id, text, tie) with root and sketch, and next: text, root and sketch of the next document by descending id.
 
     Ids fall into ranges of about equal counts (bounds from a quantile sketch), and a window runs in each range.
     The greatest id below a range joins it as a guest, so the last of a range finds its neighbour; the guest of the
@@ -117,7 +137,7 @@ def _neighbours(docs: DataFrame) -> DataFrame:
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     guests = heads.select("range", F.coalesce(F.lag("head").over(order), F.last("head").over(every)).alias("guest"))
     visiting = docs.drop("range").join(F.broadcast(guests), F.col("id") == F.col("guest")).drop("guest").withColumn("visits", F.lit(1))
-    both = docs.withColumn("visits", F.lit(0)).unionByName(visiting)
+    both = with_tree(docs.withColumn("visits", F.lit(0)).unionByName(visiting), "text", "")  # trees of guests are few
     near = Window.partitionBy("range").orderBy("visits", F.col("id").desc(), "tie")
     return both.withColumn("next", F.lead(F.struct("text", "root", "sketch")).over(near)).where("visits = 0")
 
@@ -126,13 +146,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row of docs.
 
     A null text is empty. Null doc_ids come behind all others. Rows that share a doc_id follow one another by a hash
-    of their text. A single document is its own neighbour. Other columns play no part; an empty table gives an
-    empty result.
+    of their text. A single document is its own neighbour. Rows of null or of one repeated doc_id are in one range.
+    Likeness is exact for texts of up to SKETCH distinct leaves together, else an estimate (standard error below 0.05).
+    Other columns play no part; an empty table gives an empty result.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     slim = slim.withColumn("tie", F.xxhash64("text"))
-    own = with_tree(slim, "text", "")
-    out = _neighbours(own).withColumn("n_chars", F.length("text").cast("long"))
+    out = _neighbours(slim).withColumn("n_chars", F.length("text").cast("long"))
     out = out.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 3 as int)), substring(next.text, 1, cast(n_chars div 3 as int)))"))
     out = out.withColumn("next_root", F.col("next.root")).withColumn("next_sketch", F.col("next.sketch")).drop("text", "next")
     out = out.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
@@ -148,7 +168,7 @@ def op2_merkle(spark, sf_dir: str) -> DataFrame:
 
 
 def _tree_sql(text: str) -> str:
-    tree = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '[^\\n]{{1,{CHUNK}}}'), lambda c: md5(c)))"
+    tree = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{PHRASE}'), lambda c: md5(c)))"
     return f"""SELECT *, list_transform(tree, lambda l: md5(array_to_string(l, ''))) AS paras,
       list_sort(list_distinct(list_transform(flatten(tree), lambda x: substr(x, 1, 8))))[1:{SKETCH}] AS sketch
       FROM (SELECT *, {tree} AS tree FROM (SELECT *, {text} AS body FROM src))"""
