@@ -163,11 +163,113 @@ def test_merkle_single_document_and_empty_table(spark):
 
 
 def test_merkle_diff_locates_edits(spark):
+    rng, pairs = random.Random(17), {}
+    for k in range(60):
+        a = [f"paragraph {rng.randrange(25)} of this text" for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            at = rng.randrange(len(b) + 1)
+            kind = rng.randrange(4)
+            if kind == 0 or not b:
+                b.insert(at, f"paragraph {rng.randrange(40)} of this text")
+            elif kind == 1:
+                del b[min(at, len(b) - 1)]
+            elif kind == 2:
+                b[min(at, len(b) - 1)] = "edited"
+            else:
+                b.insert(at, b.pop(rng.randrange(len(b))))
+        pairs[k] = ("\n".join(a), "\n".join(b))
     text = [f"paragraph number {i} of this text" for i in range(30)]
-    other = [*text]
-    other[17] = "edited"
-    row = merkle.diff(spark.createDataFrame([("\n".join(text), "\n".join(other))], "a string, b string"), "a", "b").first()
-    assert row["paragraphs_changed"] == [17] and len(row["sections_changed"]) >= 1
+    pairs |= {100: ("\n".join(text), "\n".join([*text[:17], "edited", *text[18:]])), 101: ("\n".join(text), "\n".join([*text[:5], *text[6:]])), 102: ("\n".join(text), "\n".join([*text[:5], text[6], text[5], *text[7:]])), 103: (None, ""), 104: ("a", None)}
+    found = defaultdict(list)
+    for r in merkle.diff(spark.createDataFrame([(k, *v) for k, v in pairs.items()], "k int, a string, b string"), "k", "a", "b").collect():
+        found[r["k"]].append((r["level"], r["change"], r["a_pos"], r["b_pos"]))
+    for k, (a, b) in pairs.items():
+        a, b = (a or "").split("\n"), (b or "").split("\n")
+        gone = Counter(a[p] for level, c, p, _ in found[k] if c == "removed")
+        new = Counter(b[p] for level, c, _, p in found[k] if c == "added")
+        assert gone == Counter(a) - Counter(b) and new == Counter(b) - Counter(a)
+        assert all(a[p] == b[q] for level, c, p, q in found[k] if c == "moved" and level == "paragraph")
+        assert a != b or not found[k]
+    assert sorted(found[100]) == [("paragraph", "added", None, 17), ("paragraph", "removed", 17, None)] or set(found[100]) == {("paragraph", "added", None, 17), ("paragraph", "removed", 17, None)}
+    assert found[101] == [("paragraph", "removed", 5, None)] and {c for _, c, _, _ in found[102]} == {"moved"} and not found[103]
+
+
+def test_merkle_likeness_survives_a_shift(spark):
+    """A word put into a long paragraph changes the leaf around it only; the sketch is near the exact share of leaves."""
+    rng, rows = random.Random(19), []
+    for k in range(20):
+        words = [rng.choice(["and", "the", "reti,", "onst", "blea.", "y", "tion", "ed"]) + str(rng.randrange(99)) * (rng.random() < 0.3) for _ in range(400)]
+        words = [w if w[-1] in ".," else w for w in words]
+        other = [*words]
+        other.insert(rng.randrange(3), f"word{k}")
+        rows.append((k, " ".join(words), " ".join(other)))
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    df = merkle.with_tree(merkle.with_tree(df, "a", "a_"), "b", "b_").withColumn("la", merkle.leaves("a")).withColumn("lb", merkle.leaves("b"))
+    for r in df.select(merkle.likeness("a_root", "a_sketch", "b_root", "b_sketch").alias("near"), merkle.exact_likeness("la", "lb").alias("exact"), F.size(F.flatten("la")).alias("n")).collect():
+        assert r["n"] > 40 and r["exact"] > 0.9 and abs(r["near"] - r["exact"]) < 0.1
+
+
+def brute_importance(docs, labels, k):
+    """Scores and the kept rows, by counting in plain Python: one n-gram at a time."""
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def roll(own):
+        h = 0
+        for x in own:
+            h = (h * 0x9E3779B97F4A7C15 + x) & mask
+        return mix(h)
+
+    def grams(text):
+        words = (text or "").encode().split()
+        word = [importance.xxhash.xxh3_64_intdigest(w.lower()) for w in words]
+        form = [importance.shape(w) ^ (0x5BD1E995 if i and word[i] == word[i - 1] else 0) for i, w in enumerate(words)]
+        out = [roll(word[i : i + n]) % importance.WORD_BUCKETS for n in (1, 2) for i in range(len(words) - n + 1)]
+        return out + [mix(roll(form[i : i + n]) + n) % importance.SHAPE_BUCKETS + importance.WORD_BUCKETS for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+
+    own = {i: grams(t) for i, t in docs}
+    raw, target = Counter(g for v in own.values() for g in v), Counter(g for i, v in own.items() if labels.get(i) for g in v)
+    score = {}
+    for i, v in own.items():
+        total = 0.0
+        for lo, hi in ((0, importance.WORD_BUCKETS), (importance.WORD_BUCKETS, importance.BUCKETS)):
+            t_sum, r_sum = sum(target[g] + 1e-9 for g in range(lo, hi)), sum(raw[g] + 1.0 for g in range(lo, hi))
+            for g in v:
+                if lo <= g < hi:
+                    p = (raw[g] + 1.0) / r_sum
+                    total += np.log((0.5 * (target[g] + 1e-9) / t_sum + 0.5 * p) / p)
+        score[i] = max(-importance.BOUND, min(importance.BOUND, total)) if v else importance.EMPTY
+    u = {i: (int(hashlib.md5(f"dsir:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in own}
+    key = {i: score[i] - np.log(-np.log(u[i])) for i in own}
+    return score, set(sorted(key, key=lambda i: (-key[i], i))[:k])
+
+
+def test_importance_against_brute_force(spark, rows):
+    docs = [(i, t) for i, t, _ in rows if i != 902]
+    labels = {i: int(i % 2 == 0) for i, _ in docs if i % 5 < 4}
+    marks = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    k = int(len(docs) * sum(labels.values()) / len(labels) + 0.5)
+    score, kept = brute_importance(docs, labels, k)
+    got = importance.resample(table(spark, [(i, t, "s") for i, t in docs]), marks).collect()
+    assert {r["doc_id"]: r["_tessera_weight"] for r in got} == pytest.approx(score)
+    assert {r["doc_id"] for r in got if r["kept"]} == kept
+
+
+def test_mixing_by_a_quality_column(spark, rows):
+    """Heavier documents come first: of equal sizes, the share taken rises with the weight; slices stay level."""
+    docs = [(i, "word " * 5, "s", 1.25 if i % 2 else 0.3) for i in range(2000)] + [(5000 + i, "word " * 40, f"t{i % 2}", None) for i in range(600)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, value double")
+    taken = defaultdict(int)
+    for r in mixing.mix(frame, share=0.2, quality="value").where("source = 's'").collect():
+        taken[r["doc_id"] % 2] += r["copies"]
+    assert taken[1] > 1.5 * taken[0] > 0
+    slices = mixing.sized(frame, slices=64).where("source = 's'").groupBy("slice").count().collect()
+    assert max(r["count"] for r in slices) < 2000 / 64 * 5
 
 
 def test_licenses(spark):
@@ -219,6 +321,68 @@ def test_licenses_gap():
         assert [r[0] for r in licenses.apply_rules(licenses.sentences(text, root))] == want
     far = "." + " " * 200 + "Released under the MIT License."
     assert [r[0] for r in licenses.apply_rules(licenses.sentences(far, root))] == ["MIT"]
+    for text, want in (("This file is released under the MIT License.", ["MIT"]), ("All of it is, unless noted, licensed under CC BY-SA 4.0.\n", ["CC-BY-SA-4.0"]), ("It was unlicensed under the MIT License.", []), ("// x = 1; // SPDX-License-Identifier: MIT\n", ["MIT"])):
+        assert [r[0] for r in licenses.apply_rules(licenses.sentences(text, root))] == want
+
+
+def brute_rules(found):
+    """Rules in order, each from the left over what is left, by plain search."""
+    left, out = list(found), []
+    for licence, needed in licenses.RULES:
+        again = True
+        while again:
+            again = False
+            for i in range(len(left)):
+                took, at = [], i
+                for name in needed:
+                    if took:
+                        near = [k for k in range(took[-1] + 1, len(left)) if left[k][3] - left[took[-1]][3] <= licenses.GAP + 1]
+                    else:
+                        near = [at]
+                    at = next((k for k in near if left[k][0] == name), None)
+                    if at is None:
+                        break
+                    took.append(at)
+                if len(took) == len(needed):
+                    out.append((licence, left[took[0]][1], left[took[-1]][2]))
+                    left = [f for k, f in enumerate(left) if k not in took]
+                    again = True
+                    break
+    return sorted(out, key=lambda r: r[1:])
+
+
+def test_licenses_against_brute_force(spark):
+    """Texts made of known and unknown sentences: identifiers by construction, rules by plain search."""
+    rng, known = random.Random(21), [(n, s) for n, s in licenses.SENTENCES if "*" not in s]
+    full = [x for x in known if not x[0].endswith(".notice")]
+    texts, wanted, total = [], [], 0
+    for k in range(300):
+        parts, ids = [], []
+        for _ in range(rng.randint(0, 12)):
+            if rng.random() < 0.7:
+                name, sentence = rng.choice(full if rng.random() < 0.8 else known)
+                words = [rng.choice([w, w.upper(), w.capitalize()]) for w in sentence.split()]
+                parts.append("".join(w + rng.choice([" ", "  ", "\n", "\n# ", ", "]) for w in words[:-1]) + words[-1])
+                ids.append(name)
+            else:
+                parts.append(" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 9))))
+        texts.append("".join(p + rng.choice([". ", ".\n", ".\n\n"]) for p in parts))
+        wanted.append(",".join(ids))
+    for r in licenses.scan_licenses(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect():
+        found = licenses.sentences(texts[r["doc_id"]], licenses.tree())
+        rules = brute_rules(found)
+        assert r["sentence_ids"] == wanted[r["doc_id"]]
+        assert r["spans"] == ",".join(f"{a}:{b}:{c}" for a, b, c in rules) and r["licenses"] == ",".join(sorted({x[0] for x in rules}))
+        total += len(rules)
+    assert total > 300
+
+
+def test_licenses_many_notices_in_seconds():
+    import time
+
+    began, n = time.time(), 100_000
+    found = licenses.sentences("Released under the MIT License.\n" * n, licenses.tree())
+    assert len(licenses.apply_rules(found)) == n and time.time() - began < 30
 
 
 def brute_base(text):
@@ -245,16 +409,68 @@ def test_repetition_base(spark, rows):
         assert not (r["base_failed"] and r["kept"])
 
 
-@pytest.mark.parametrize("length,passages,others,other,reason", [(2, 6, 6, "s{:04}", "ngram_2"), (3, 6, 17, "s{:04}", "ngram_3"), (4, 6, 29, "s{:04}", "ngram_4"), (5, 1, 40, "{:02}", "ngram_5"), (4, 6, 48, "s{:04}", None), (10, 1, 100, "s{:04}", None)])
+def brute_verdict(text, limits=repetition.NGRAM_LIMITS):
+    """(shares of each length, first rule that fails) from lists of windows."""
+    words = WORD.findall(text or "")
+    chars = sum(map(len, words))
+    shares = []
+    for n, _ in limits:
+        windows = Counter(tuple(words[k : k + n]) for k in range(len(words) - n + 1))
+        hit = {k + j for k in range(len(words) - n + 1) if windows[tuple(words[k : k + n])] > 1 for j in range(n)}
+        shares.append(sum(len(words[k]) for k in hit) / max(1, chars))
+    lines = [line for line in (text or "").split("\n") if WORD.search(line)]
+    again = [line for k, line in enumerate(lines) if line in lines[:k]]
+    if brute_base(text)[-1]:
+        return shares, "base"
+    for (n, limit), share in zip(limits, shares):
+        if share > limit:
+            return shares, f"ngram_{n}"
+    if sum(len(w) for line in again for w in WORD.findall(line)) > repetition.LINE_CHARS_LIMIT * chars:
+        return shares, "line_chars"
+    if "\n" in text and len(again) > repetition.LINES_LIMIT * len(lines):
+        return shares, "lines"
+    return shares, "symbols" if sum(c in "#*$%&|<>" for c in text) > repetition.SYMBOLS_LIMIT * len(words) else None
+
+
+def test_repetition_verdict_against_brute_force(spark, rows):
+    rng, more = random.Random(12), []
+    for i in range(400):  # phrases and passages of several lengths, lines and symbols that repeat more or less often
+        parts = [[f"{rng.choice('abé')}{rng.randrange(10**6)}" for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 10, 14]))] for _ in range(rng.randint(1, 12))]
+        body = [w for _ in range(rng.randint(2, 14)) for w in rng.choice(parts)] + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 90))]
+        if i % 2:  # phrases of up to four words twice, in other orders
+            parts = [p[:4] for p in parts] * 2
+            body = [w for p in rng.sample(parts, len(parts)) for w in p] + [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 30))]
+        lines_ = [" ".join(body)] + ["one line of these"] * rng.choice([0, 0, 0, 3]) + ["# * $ %"] * rng.choice([0, 0, 1])
+        more.append((5000 + i, "\n".join(lines_), "s"))
+    every, reasons = [*rows, *more], Counter()
+    texts = {i: t for i, t, _ in every}
+    for r in repetition.repetition_rules(table(spark, every)).collect():
+        shares, reason = brute_verdict(texts[r["doc_id"]])
+        assert r["shares"] == pytest.approx(shares) and (r["kept"], r["reason"]) == (reason is None, reason)
+        assert r["covered_share"] == pytest.approx(max(shares[3:]))
+        reasons[reason] += 1
+    assert {"base", "ngram_2", "ngram_3", "ngram_4", "lines", None} <= set(reasons), reasons
+
+
+@pytest.mark.parametrize("length,passages,others,other,reason", [(2, 6, 6, "s{:04}", "ngram_2"), (3, 6, 17, "s{:04}", "ngram_3"), (4, 6, 29, "s{:04}", "ngram_4"), (4, 6, 48, "s{:04}", None), (5, 2, 81, "{:03}", "ngram_5"), (6, 2, 123, "{:03}", "ngram_6"), (7, 2, 152, "{:03}", "ngram_7"), (8, 2, 184, "{:03}", "ngram_8"), (9, 2, 219, "{:03}", "ngram_9"), (10, 2, 258, "{:03}", "ngram_10"), (12, 1, 155, "{:03}", "ngram_10"), (10, 1, 100, "s{:04}", None)])
 def test_repetition_each_length_decides(length, passages, others, other, reason):
-    """Passages that occur twice, in reverse order the second time, so that no longer window repeats."""
+    """Passages that occur twice, in reverse order the second time, so that no longer window repeats; the limit of
+    one length alone decides the verdict."""
     parts = [[f"p{k:02}{j:02}" for j in range(length)] for k in range(passages)]
     words = [w for p in [*parts, *parts[::-1]] for w in p] + [other.format(k) for k in range(others)]
-    assert len({tuple(words[k : k + length + 1]) for k in range(len(words) - length)}) == len(words) - length
+    assert len({tuple(words[k : k + length + 1]) for k in range(len(words) - length)}) == len(words) - length or length == 12
     text = " ".join(words)
     assert not brute_base(text)[-1]
-    got = repetition.measure(text.encode(), repetition.WordHashes(), repetition.Lengths())
-    assert (got[6], got[9]) == (reason is None, reason)
+    got = repetition.measure([text.encode()])[0]
+    assert (got[6], got[10]) == (reason is None, reason)
+    loose = tuple((n, 1.0 if f"ngram_{n}" == reason else limit) for n, limit in repetition.NGRAM_LIMITS)
+    assert repetition.measure([text.encode()], loose)[0][6]
+
+
+def test_repetition_together_and_alone(rows):
+    texts = [(t or "").encode() for _, t, _ in rows] + [b"\xff\xfe not utf-8 " * 30, b"x" * 1_000_000 + b" y" * 50]
+    assert repetition.measure(texts) == [repetition.measure([t])[0] for t in texts]
+    assert [t for g in repetition.groups(texts, 500) for t in g] == texts
 
 
 def brute_spans(text):
@@ -352,6 +568,53 @@ def test_packing_round_trip(spark, rows):
     assert packing.pack(table(spark, rows).where("false")).count() == 0
 
 
+def test_packing_ids_of_letters_before_marks():
+    """Each letter of Unicode in front of each mark: normalising may turn it into a letter and a combining mark."""
+    from tokenizers import Tokenizer
+
+    words, tok = packing.Words(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha() and (ord(c) < 0x3000 or ord(c) % 97 == 0)]
+    for mark in packing.Words.MARKS:
+        texts = [f"{c}{mark} a{c}{mark}{mark}" for c in letters]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert words.encode(texts) == want
+
+
+def test_packing_long_chunks_are_not_kept():
+    words = packing.Words(packing.tokenizer_path())
+    texts = [f"{k}{'ab' * 50_000}. short{k}." for k in range(5)]
+    ids = words.encode(texts)
+    assert sum(map(len, words.known)) < 1000
+    assert ids == [np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_trees_first_split_is_the_best():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(80, 4)).round(1), (rng.random(80) < 0.4).astype(float)
+    t = toxicity.Trees(rounds=1, depth=1, bins=200).fit(x, y)
+    p = 1 / (1 + np.exp(-t.base))
+    g, h, best = p - y, np.full(80, p * (1 - p)), {}
+    for j in range(4):
+        for v in np.unique(x[:, j]):
+            left = x[:, j] < v
+            if h[left].sum() >= 0.5 and h[~left].sum() >= 0.5:
+                best[j, v] = sum(g[m].sum() ** 2 / (h[m].sum() + t.penalty) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + t.penalty)
+    (col, cut, _), = t.trees
+    left = t._binned(x)[:, col[0]] <= cut[0]
+    gain = sum(g[m].sum() ** 2 / (h[m].sum() + t.penalty) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + t.penalty)
+    assert gain > 0.9 * max(best.values()) and gain <= max(best.values()) + 1e-9
+
+
+def test_isotonic_is_the_least_squares_fit():
+    """Against the min-max formula: the fit at i is the greatest over a <= i of the least mean of y[a..b], b >= i."""
+    rng = np.random.default_rng(5)
+    x = np.arange(60.0)
+    y = (rng.random(60) < x / 80).astype(float)
+    want = [max(min(y[a : b + 1].mean() for b in range(i, 60)) for a in range(i + 1)) for i in range(60)]
+    at, value = toxicity.isotonic(x, y)
+    assert np.interp(x, at, value) == pytest.approx(want, abs=1e-9)
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(3)
     words = ["an", "reti", "onst", "the", "of", "blea", "tion"]
@@ -434,6 +697,52 @@ def test_near_groups(spark, rows, heavy, cut):
     assert got == brute_groups(more)
 
 
+def test_near_groups_great_block(spark):
+    """A block beyond the bound: near copies of one text, another group that shares a passage with it, a drift and loners
+    that share single passages; the block is compared by rounds and by what these leave apart."""
+    rng, out = random.Random(31), []
+    fresh = lambda n: [f"v{rng.randrange(10**7)}" for _ in range(n)]
+    passage, base, other = fresh(14), fresh(40), fresh(44)
+    for k in range(40):
+        own = [*base, *passage]
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(54)] = f"x{k}"
+        out.append((k, " ".join(own), "s"))
+    for k in range(15):
+        own = [*other, *passage]
+        own[rng.randrange(58)] = f"y{k}"
+        out.append((100 + k, " ".join(own), "s"))
+    drift = [*fresh(40), *passage]
+    for k in range(30):
+        out.append((200 + k, " ".join(drift), "s"))
+        drift[rng.randrange(40)] = f"d{k}"
+    for k in range(25):
+        out.append((300 + k, " ".join([*fresh(rng.randint(3, 6)), *passage, *fresh(rng.randint(0, 2))]), "s"))
+    want = brute_groups(out)
+    assert len(set(c for _, c in want.values())) < len(want)
+    for heavy, cut in ((16, 8), (3, 4), (1000, 25)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(table(spark, out), heavy=heavy, cut=cut).collect()}
+        assert got == want
+
+
+def test_near_groups_many_ranges(spark, rows, monkeypatch):
+    """More ranges than tasks, remembered heavy shingles dropped."""
+    monkeypatch.setattr(jaccard, "ranges", lambda docs: 23)
+    monkeypatch.setattr(jaccard, "MOST_TASKS", 5)
+    monkeypatch.setattr(jaccard, "REMEMBERED", 1)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_groups(table(spark, rows), heavy=4).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_near_groups_one_hot_copy_and_null_ids(spark):
+    text = "one text that a third of all rows have as it is"
+    docs = [(i, text, "s") for i in range(50)] + [(None, text, "s"), (None, "", "s"), (7, text, "s")] + [(100 + i, " ".join(f"w{i}{k}" for k in range(9)), "s") for i in range(100)]
+    got = jaccard.near_groups(table(spark, docs)).collect()
+    assert len(got) == len(docs)
+    assert {r["component_id"] for r in got if r["n_shingles"] == 8} == {0} and sum(r["n_shingles"] == 8 for r in got) == 52
+    assert all(r["component_id"] == r["doc_id"] for r in got if r["n_shingles"] != 8)
+
+
 def test_one_of_each(spark, rows):
     docs = table(spark, [*rows, rows[0], (None, rows[0][1], "s"), (None, "alone among many words here", "s")])
     path = f"{spark.conf.get('spark.checkpoint.dir')}/one-of-each"
@@ -452,3 +761,15 @@ def test_empty_tables(spark):
     assert licenses.scan_licenses(empty).count() == jaccard.near_groups(empty).count() == 0
     marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert importance.resample(empty, marks).count() == toxicity.score(empty, toxicity.train(empty, marks)).count() == 0
+
+
+def test_join_hot(spark):
+    from tessera.llm.common import join_hot
+
+    rng = random.Random(1)
+    rows = [(rng.choice([7, 7, 7, *range(3000)]), rng.randrange(2), i) for i in range(4000)] + [(None, 1, 9999)]
+    count = Counter(r[:2] for r in rows if r[0] is not None and r[0] % 5)
+    side = [(*k, n, f"x{k}" if k[0] % 2 else None) for k, n in count.items()]
+    got = join_hot(spark.createDataFrame(rows, "a long, b int, i int"), spark.createDataFrame(side, "a long, b int, n int, x string"), ["a", "b"], "n").collect()
+    known = {s[:2]: s[2:] for s in side}
+    assert sorted((r["i"], r["n"], r["x"]) for r in got) == sorted((i, *known.get((a, b), (None, None))) for a, b, i in rows)
