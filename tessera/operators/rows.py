@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import salted
+from ..functions.text import last_turn
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -105,9 +106,42 @@ def sample(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
 
 def halves(df: DataFrame, seed: str, key: str) -> DataFrame:
     """The first half of a shuffle by hash: n // 2 rows."""
-    order = Window.partitionBy(F.lit(0)).orderBy("_h", key)
-    total = df.agg(F.floor(F.count(F.lit(1)) / 2).alias("_half"))
-    return df.withColumn("_h", salted(seed, F.col(key))).withColumn("_rn", F.row_number().over(order)).crossJoin(F.broadcast(total)).where("_rn <= _half").drop("_h", "_rn", "_half")
+    # Counts by the first three hex digits tell in which bucket the half ends; only that bucket is sorted.
+    hashed = df.withColumn("_h", salted(seed, F.col(key))).withColumn("_b", F.substring("_h", 1, 3))
+    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # 4096 rows at most
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b"))).withColumn("_half", F.floor(F.sum("_n").over(Window.partitionBy(F.lit(0))) / 2))
+    place = hashed.join(F.broadcast(upto.where("_upto - _n < _half")), "_b")
+    inside = Window.partitionBy("_b").orderBy("_h", key)
+    whole = place.where("_upto <= _half").select(*df.columns)
+    return whole.unionAll(place.where("_upto > _half").withColumn("_rn", F.row_number().over(inside)).where("_rn <= _half - (_upto - _n)").select(*df.columns))
+
+
+def require(df: DataFrame, *names: str) -> DataFrame:
+    """df; columns that a later step needs and that are missing are an error now."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return df
+
+
+def standard_steps(dataset: str, training: bool, key: str, max_tokens: int, verify: Step, media_tokens: Step, total_tokens: Step) -> list[Step]:
+    """The steps of a dataset in order: ids, verified media, media tokens; in training also total tokens and their limit.
+
+    A dataset of digit images (mnist in its name) needs no media steps, and has no num_tokens.
+    """
+    steps: list[Step] = [lambda df: add_id(df, key)]
+    if "mnist" in dataset:
+        return steps
+    steps += [verify, media_tokens]
+    if training:
+        steps += [total_tokens, lambda df: require(df, "num_tokens").where(F.col("num_tokens") <= max_tokens)]
+    return steps
+
+
+def join_outputs(items: DataFrame, outputs: DataFrame, on: str = "id", output: str = "output", name: str = "model_answer") -> DataFrame:
+    """items with what a model answered: the text behind the last mark of the assistant; null where there is no output."""
+    answers = outputs.select(F.col(on).alias("_on"), last_turn(F.col(output)).alias(name))
+    return items.join(answers, F.col(on) == F.col("_on"), "left").drop("_on")
 
 
 def select_except(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> DataFrame:
@@ -119,13 +153,14 @@ def select_except(df: DataFrame, include: Sequence[str] | None = None, exclude:
 
 
 def newest(df: DataFrame, step: str, partition: Sequence[str] = ()) -> DataFrame:
-    """The row of the greatest step."""
-    order = Window.partitionBy(*(partition or [F.lit(0)])).orderBy(F.col(step).cast("long").desc())
-    return df.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    """The row of the greatest step, by an aggregation with partial results."""
+    rest = [c for c in df.columns if c not in partition]
+    best = df.where(F.col(step).isNotNull()).groupBy(*partition).agg(F.max_by(F.struct(*rest), F.struct(F.col(step).cast("long"), F.struct(*rest))).alias("_best"))
+    return best.where("_best is not null").select(*[F.col(c) if c in partition else F.col(f"_best.{c}") for c in df.columns])
 
 
-#: Files of an older checkpoint that stay.
-KEPT_FILES = ("config.json", "generation_config.json", "trainer_state.json", "tokenizer.json", "tokenizer_config.json")
+#: Files of an older checkpoint that stay, beside the weights model-*.safetensors.
+KEPT_FILES = ("config.json", "generation_config.json", "preprocessor_config.json", "video_preprocessor_config.json", "tokenizer.json", "tokenizer_config.json", "vocab.json", "merges.txt", "special_tokens_map.json", "added_tokens.json", "chat_template.jinja", "model.safetensors.index.json")
 
 
 def retention(files: DataFrame, step: str = "step", name: str = "name") -> DataFrame:

@@ -277,12 +277,14 @@ def status_histogram(t):
 
 
 @query(r"""
-WITH p AS (SELECT page_id, 'vids/' || url || '.mp4' AS v FROM pages)
-SELECT page_id, replace(v, '.mp4', '.en.vtt') AS subtitle FROM p WHERE page_id % 3 = 0""")
+WITH p AS (SELECT page_id, 'vids/' || url || '.mp4' AS v FROM pages),
+l AS (SELECT DISTINCT 'vids/' || url || CASE WHEN page_id % 3 = 0 THEN '.en.vtt' ELSE '.mp4' END AS path FROM pages)
+SELECT page_id, replace(v, '.mp4', '.en.vtt') AS subtitle FROM p WHERE replace(v, '.mp4', '.en.vtt') IN (SELECT path FROM l)""")
 def subtitle_exists(t):
-    paths = t("pages").select("page_id", T.subtitle_path(F.concat(F.lit("vids/"), "url", F.lit(".mp4"))).alias("subtitle"))
-    there = paths.where("page_id % 3 = 0").select("page_id")
-    return R.present(paths, there, "page_id")
+    """Videos whose subtitle file is in a listing of paths; the listing has subtitles of a third of them, and videos."""
+    paths = t("pages").select("page_id", T.subtitle_path(F.concat(F.lit("vids/"), "url", F.lit(".mp4"))).alias("path"))
+    listing = t("pages").select(F.concat(F.lit("vids/"), "url", F.when(F.col("page_id") % 3 == 0, ".en.vtt").otherwise(".mp4")).alias("path"))
+    return R.present(paths, listing, "path").select("page_id", F.col("path").alias("subtitle"))
 
 
 @query("""SELECT l_orderkey, bool_and(l_quantity > 5) AS every, bool_or(l_discount = 0) AS some_free FROM lineitem GROUP BY l_orderkey""")
@@ -296,14 +298,24 @@ def newest_checkpoint(t):
 
 
 @query(r"""
-WITH f AS (SELECT o_orderkey % 50 AS step, CASE o_orderkey % 4 WHEN 0 THEN 'model-' || o_orderkey || '.safetensors' WHEN 1 THEN 'optimizer.pt' WHEN 2 THEN 'config.json' ELSE 'rng_state.pth' END AS name FROM orders)
-SELECT step, name, step <> (SELECT max(step) FROM f) AND NOT (name IN ('config.json', 'generation_config.json', 'trainer_state.json', 'tokenizer.json', 'tokenizer_config.json') OR regexp_matches(name, '^model-.*\.safetensors$')) AS "delete" FROM f""")
+WITH f AS (SELECT o_orderkey % 50 AS step, ['config.json', 'generation_config.json', 'preprocessor_config.json', 'video_preprocessor_config.json', 'tokenizer.json', 'tokenizer_config.json', 'vocab.json', 'merges.txt', 'special_tokens_map.json', 'added_tokens.json', 'chat_template.jinja', 'model.safetensors.index.json', 'optimizer.pt', 'rng_state.pth', 'scheduler.pt', 'trainer_state.json', 'training_args.bin', 'model-' || o_orderkey || '.safetensors'][o_orderkey % 18 + 1] AS name, o_orderkey % 18 AS k FROM orders)
+SELECT step, name, step <> (SELECT max(step) FROM f) AND k BETWEEN 12 AND 16 AS "delete" FROM f""")
 def checkpoint_retention(t):
-    m = F.col("o_orderkey") % 4
-    name = F.when(m == 0, F.concat(F.lit("model-"), "o_orderkey", F.lit(".safetensors"))).when(m == 1, "optimizer.pt").when(m == 2, "config.json").otherwise("rng_state.pth")
+    """Each file name that is kept, and five that are not."""
+    names = [*R.KEPT_FILES, "optimizer.pt", "rng_state.pth", "scheduler.pt", "trainer_state.json", "training_args.bin"]
+    name = F.element_at(F.array(*map(F.lit, names), F.concat(F.lit("model-"), "o_orderkey", F.lit(".safetensors"))), (F.col("o_orderkey") % 18 + 1).cast("int"))
     return R.retention(t("orders").select((F.col("o_orderkey") % 50).alias("step"), name.alias("name")))
 
 
+@query(r"""WITH o AS (SELECT doc_id AS id, 'user' || chr(10) || 'q assistant old' || chr(10) || 'assistant' || chr(10) || ' ' || lang || ' ' || n_chars || chr(10) AS output FROM documents WHERE doc_id % 4 > 0)
+SELECT l.doc_id AS id, CASE WHEN o.id IS NOT NULL THEN d.lang || ' ' || d.n_chars END AS model_answer FROM labels l LEFT JOIN o ON l.doc_id = o.id LEFT JOIN documents d ON l.doc_id = d.doc_id""")
+def model_outputs(t):
+    """Items with the answers that a model gave to three of four of them, joined by id."""
+    text = F.concat(F.lit("user\nq assistant old\nassistant\n "), "lang", F.lit(" "), "n_chars", F.lit("\n"))
+    outputs = t("documents").where("doc_id % 4 > 0").select(F.col("doc_id").alias("id"), text.alias("output"))
+    return R.join_outputs(t("labels").select(F.col("doc_id").alias("id")), outputs)
+
+
 @query("SELECT r_name AS model, n_name AS dataset FROM region, nation")
 def run_matrix(t):
     return t("region").select(F.col("r_name").alias("model")).crossJoin(F.broadcast(t("nation").select(F.col("n_name").alias("dataset"))))
