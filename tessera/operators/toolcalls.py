@@ -9,7 +9,7 @@ from ..functions.jsonx import call_id
 from ..functions.text import strip
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
-RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
+RESULT = r"(?s)<tool_result.*?>(.*?)</tool_result>"
 
 
 def raw_call(text: Column) -> Column:
@@ -18,19 +18,27 @@ def raw_call(text: Column) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """STRUCT<name, arguments (JSON text), id, raw> of the first call; null if it is missing, malformed or nameless."""
+    """STRUCT<name, arguments (JSON text), id, raw> of the first call; null if it is missing or not one JSON object.
+
+    The whole text of the call must be JSON: as the only element of an array, nothing can stand behind it. A call
+    without a name has a null one; missing arguments are {}.
+    """
     raw = raw_call(text)
-    name = F.get_json_object(raw, "$.name")
+    strict = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+    whole = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>", strict)
+    valid = raw.startswith("{") & (F.size(whole) == 1) & F.get(whole, F.lit(0)).isNotNull()
     arguments = F.coalesce(F.get_json_object(raw, "$.arguments"), F.lit("{}"))
-    return F.when(name.isNotNull(), F.struct(name.alias("name"), arguments.alias("arguments"), call_id(raw).alias("id"), raw.alias("raw")))
+    return F.when(valid, F.struct(F.get_json_object(raw, "$.name").alias("name"), arguments.alias("arguments"), call_id(raw).alias("id"), raw.alias("raw")))
 
 
 def format_call(name: Column, arguments: Column) -> Column:
     return F.concat(F.lit('<tool_call>{"name":"'), name, F.lit('","arguments":'), arguments, F.lit("}</tool_call>"))
 
 
-def format_result(result: Column) -> Column:
-    return F.concat(F.lit("<tool_result>"), result, F.lit("</tool_result>"))
+def format_result(result: Column, call: Column | None = None) -> Column:
+    """The result in its tags; call: the id of its call, as an attribute."""
+    head = F.lit("<tool_result>") if call is None else F.concat(F.lit("<tool_result id='"), call, F.lit("'>"))
+    return F.concat(head, result, F.lit("</tool_result>"))
 
 
 def strip_calls(text: Column) -> Column:

@@ -54,16 +54,10 @@ def video_tokens(t):
     return df.select("p_partkey", "n_frames", F.when(F.col("n_frames").isNull(), E.FAILED).otherwise(M.video_tokens(F.col("h"), F.col("w"), F.col("n_frames"))).cast("long").alias("tokens"))
 
 
-@query(PLAN_SQL + r""", x AS (SELECT p_partkey, total, n_frames, unnest(range(n_frames)) AS i FROM p WHERE n_frames IS NOT NULL AND p_partkey % 10 = 1)
+@query(PLAN_SQL + r""", x AS (SELECT p_partkey, total, n_frames, unnest(range(n_frames)) AS i FROM p WHERE n_frames IS NOT NULL)
 SELECT p_partkey, i, CASE WHEN n_frames = 1 THEN 0 WHEN i = n_frames - 1 THEN total - 1 ELSE floor(i * ((total - 1)::DOUBLE / (n_frames - 1))) END::BIGINT AS frame FROM x""")
 def frame_plan(t):
-    df = E.frame_plan(_videos(t).where("p_partkey % 10 = 1"), "total", "fps").where("n_frames is not null")
-    return df.select("p_partkey", F.posexplode("frames").alias("i", "frame")).select("p_partkey", F.col("i").cast("long").alias("i"), "frame")
-
-
-@query()
-def frame_plan_all(t):
-    """The frames of every part; frame_plan and its SQL keep those with p_partkey % 10 = 1."""
+    """The frames of every part."""
     df = E.frame_plan(_videos(t), "total", "fps").where("n_frames is not null")
     return df.select("p_partkey", F.posexplode("frames").alias("i", "frame")).select("p_partkey", F.col("i").cast("long").alias("i"), "frame")
 
@@ -242,17 +236,18 @@ def pack_gather(t):
     return out.select("bin_id", F.array_join("values", ",").alias("sources"))
 
 
-CALLS_SQL = """WITH c AS (SELECT conv_id, turn, text, CASE conv_id % 4 WHEN 0 THEN text WHEN 1 THEN 'x <tool_call>{"name":"find","arguments":{"q":"' || conv_id || '"}}</tool_call> y' WHEN 2 THEN '<tool_call>{bad</tool_call>' ELSE '<tool_call>{"name":"list"}</tool_call><tool_result>ok</tool_result>' END AS s FROM conversations)"""
+CALLS_SQL = """WITH c AS (SELECT conv_id, turn, text, CASE conv_id % 4 WHEN 0 THEN text WHEN 1 THEN 'x <tool_call>{"name":"find","arguments":{"q":"' || conv_id || '"}}</tool_call> y' WHEN 2 THEN '<tool_call>{bad</tool_call>' ELSE '<tool_call>{"name":"list"}' || CASE WHEN turn % 2 = 0 THEN '' ELSE ' and more' END || '</tool_call><tool_result id=''c1''>ok</tool_result>' END AS s FROM conversations)"""
 
 
 def _calls(t):
     m = F.col("conv_id") % 4
-    s = F.when(m == 0, F.col("text")).when(m == 1, F.concat(F.lit('x <tool_call>{"name":"find","arguments":{"q":"'), "conv_id", F.lit('"}}</tool_call> y'))).when(m == 2, F.lit("<tool_call>{bad</tool_call>")).otherwise(F.lit('<tool_call>{"name":"list"}</tool_call><tool_result>ok</tool_result>'))
+    s = F.when(m == 0, F.col("text")).when(m == 1, F.concat(F.lit('x <tool_call>{"name":"find","arguments":{"q":"'), "conv_id", F.lit('"}}</tool_call> y'))).when(m == 2, F.lit("<tool_call>{bad</tool_call>")).otherwise(F.concat(F.lit('<tool_call>{"name":"list"}'), F.when(F.col("turn") % 2 == 0, "").otherwise(" and more"), F.lit("</tool_call><tool_result id='c1'>ok</tool_result>")))
     return t("conversations").select("conv_id", "turn", "text", s.alias("s"))
 
 
-@query(CALLS_SQL + """ SELECT conv_id, turn, CASE conv_id % 4 WHEN 1 THEN 'find' WHEN 3 THEN 'list' END AS name, CASE conv_id % 4 WHEN 1 THEN '{"q":"' || conv_id || '"}' WHEN 3 THEN '{}' END AS arguments FROM c""")
+@query(CALLS_SQL + """ SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'find' WHEN conv_id % 4 = 3 AND turn % 2 = 0 THEN 'list' END AS name, CASE WHEN conv_id % 4 = 1 THEN '{"q":"' || conv_id || '"}' WHEN conv_id % 4 = 3 AND turn % 2 = 0 THEN '{}' END AS arguments FROM c""")
 def tool_parse(t):
+    """Calls, malformed ones, and calls with text behind their JSON, which are none."""
     return _calls(t).select("conv_id", "turn", TC.parse(F.col("s")).alias("c")).select("conv_id", "turn", "c.name", "c.arguments")
 
 
@@ -261,7 +256,7 @@ def tool_call_ids(t):
     return _calls(t).select("conv_id", "turn", TC.parse(F.col("s"))["id"].alias("id")).where("id is not null")
 
 
-@query(CALLS_SQL + r""" SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(s, '(?s)<tool_call>.*?</tool_call>', '', 'g'), '(?s)<tool_result>.*?</tool_result>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM c""")
+@query(CALLS_SQL + r""" SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(s, '(?s)<tool_call>.*?</tool_call>', '', 'g'), '(?s)<tool_result.*?>.*?</tool_result>', '', 'g'), '^\s+|\s+$', '', 'g') AS text FROM c""")
 def tool_strip(t):
     return _calls(t).select("conv_id", "turn", TC.strip_calls(F.col("s")).alias("text"))
 
