@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,16 @@ def passes(tokens: Column, name: str) -> Column:
     return F.arrays_overlap(tokens, F.array(*map(F.lit, FILTERS[name])))
 
 
+def add_filter(name: str, words: Iterable[str]) -> None:
+    """A filter of the caller's own: answers that have one of the words, in lower case."""
+    FILTERS[name] = tuple(words)
+
+
+def lines(x: Column) -> Column:
+    """The lines of a text."""
+    return F.split(x, "\n", -1)
+
+
 def filter_for(dataset: str) -> str:
     """The filter that a dataset's name asks for."""
     return "chexpert" if "chexpert" in dataset else "mc" if "mc" in dataset else "yes_no"

@@ -6,7 +6,8 @@ each message (conv_id, turn, role, text). Makers give Columns of ARRAY<message>,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import logging
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from ..functions.arrays import insert_clamped
 from ..functions.jsonx import pick
 from ..functions.text import with_dir
 
+log = logging.getLogger(__name__)
 MESSAGE = "array<struct<role:string,content:array<struct<type:string,text:string,uri:string>>>>"
 #: Answers that ask for the view of an image.
 VIEWS = ("Frontal", "Lateral", "AP", "PA")
@@ -64,8 +66,20 @@ def label_maker(image: Column, label: Column, question: str, training: bool = Tr
     return F.array(*turns, *([says("assistant", label.cast("string"))] if training else []))
 
 
-def caption_maker(image: Column, caption: Column) -> Column:
-    return F.array(message("user", part("image", image)), says("assistant", caption))
+def caption_maker(medium: Column, caption: Column, kind: str = "image") -> Column:
+    """A user turn with the medium, an image or a video, and its caption, also at inference."""
+    return F.array(message("user", part(kind, medium)), says("assistant", caption))
+
+
+def radiology_maker(image: Column, questions: Column, answers: Column, view_template: str, template: str, training: bool = True) -> Column:
+    """A user turn with the image, then a question for each of two arrays of equal length, and its answer in training.
+
+    The template follows the answer, see view_question(); a single question is an array of one. Other lengths are an error.
+    """
+    media = F.array(message("user", part("image", image)))
+    asked = F.transform(F.arrays_zip(questions.alias("q"), answers.alias("a")), lambda x: F.array(says("user", view_question(x["q"], x["a"], view_template, template)), *([says("assistant", x["a"])] if training else [])))
+    uneven = F.raise_error(F.lit("questions and answers differ in number")).cast(MESSAGE)
+    return F.when(F.size(questions) != F.size(answers), uneven).otherwise(F.concat(media, F.flatten(asked)))
 
 
 def columns_maker(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> Column:
@@ -94,7 +108,7 @@ def choice_maker(question: Column, options: Column, answer: Column | None = None
 def typed_maker(kind: Column, qa: Column, video: Column, caption: Column, training: bool = True) -> Column:
     """By the item's type: qa_pairs or caption; another type is an error."""
     unknown = F.raise_error(F.concat(F.lit("unknown item type: "), F.coalesce(kind, F.lit("null")))).cast(MESSAGE)
-    return F.when(kind == "qa_pairs", vqa_maker(qa, F.lit(None).cast("string"), video, training)).when(kind == "caption", caption_maker(video, caption)).otherwise(unknown)
+    return F.when(kind == "qa_pairs", vqa_maker(qa, F.lit(None).cast("string"), video, training)).when(kind == "caption", caption_maker(video, caption, "video")).otherwise(unknown)
 
 
 # Content --------------------------------------------------------------------------------------------------------
@@ -121,6 +135,13 @@ def media_index(rows: DataFrame, conv: str, kind: str, *order: str) -> DataFrame
     return rows.withColumn("media_index", F.row_number().over(Window.partitionBy(conv, kind).orderBy(*order)))
 
 
+def media_mark(kind: Column, index: Column | None = None) -> Column:
+    """The text of a medium, empty for a null kind; index: its number from 1, "Picture 1: " or "Video 1: "."""
+    name = F.when(kind == "image", F.lit("Picture ")).when(kind == "video", F.lit("Video "))
+    label = F.concat(name, index.cast("string"), F.lit(": ")) if index is not None else F.lit("")
+    return F.coalesce(F.concat(label, F.lit("<|vision_start|><|"), kind, F.lit("_pad|><|vision_end|>")), F.lit(""))
+
+
 # Modifiers ------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +180,30 @@ def variant(variants: Sequence[str], seed: str, *keys: Column) -> Column:
     return pick(list(variants), seed, *keys)
 
 
+def chosen(names: str, catalogue: Mapping[str, Sequence[str]]) -> list[tuple[str, Sequence[str]]]:
+    """The prompts of a comma-separated list of names, the last first; a name that the catalogue lacks is skipped with a warning."""
+    out = []
+    for name in reversed([n.strip() for n in names.split(",")]):
+        if name in catalogue:
+            out.append((name, catalogue[name]))
+        elif name:
+            log.warning("prompt %s not found, not using it", name)
+    return out
+
+
+def with_prompts(messages: Column, keys: Sequence[Column], everywhere: str = "", user: str = "", catalogues: Sequence[Mapping[str, Sequence[str]]] = ({}, {})) -> Column:
+    """messages with the named prompts of two catalogues: those put in front of all conversations, then those of user messages.
+
+    Each conversation gets one variant of a prompt, by hash of keys. Prompts of the first message of a pack need its rows,
+    see prompt_first_in_pack().
+    """
+    for name, variants in chosen(everywhere, catalogues[0]):
+        messages = prompt_all(messages, "user", variant(variants, name, *keys))
+    for name, variants in chosen(user, catalogues[1]):
+        messages = prompt_role_first(messages, "user", variant(variants, name, *keys), 1)
+    return messages
+
+
 def join_pack(df: DataFrame, messages: str, pack: str, order: str) -> DataFrame:
     """The conversations of each pack as one, in order."""
     return df.groupBy(pack).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(messages).alias("m")))), lambda x: x["m"])).alias(messages))

@@ -15,8 +15,9 @@ from ..functions.arrays import IGNORE, mask_for, pad_to
 from ..functions.text import PIECE
 
 Tokenizer = Callable[[Column], Column]
-#: Size of the built-in vocabulary, and ids that it keeps free for marks.
-VOCABULARY, PAD = 50_000, 0
+#: Size of the built-in vocabulary, and ids that it keeps free for marks: padding, pads of a picture and of a video, start
+#: and end of a medium.
+VOCABULARY, PAD, IMAGE_PAD, VIDEO_PAD, MEDIA_START, MEDIA_END = 50_000, 0, 1, 2, 3, 4
 
 
 def hashed_pieces(text: Column) -> Column:
@@ -25,19 +26,29 @@ def hashed_pieces(text: Column) -> Column:
     return F.transform(pieces, lambda p: (F.conv(F.substring(F.md5(p.cast("binary")), 1, 8), 16, 10).cast("long") % (VOCABULARY - 10) + 10).cast("int"))
 
 
-def features(rows: DataFrame, tokenizer: Tokenizer = hashed_pieces, template: bool = True, generation_prompt: bool = False, media_tokens: Column | None = None, text_only: bool = False, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+def media_ids(media: Column, text_only: bool = False) -> Column:
+    """Start, as many pads of its kind as it has tokens (one if ``text_only``), and end of each medium.
+
+    media: ARRAY<STRUCT<kind, tokens>>, of kind image or video; another kind is an error.
+    """
+    pad = lambda m: F.when(m["kind"] == "image", F.lit(IMAGE_PAD)).when(m["kind"] == "video", F.lit(VIDEO_PAD)).otherwise(F.raise_error(F.concat(F.lit("unknown medium: "), F.coalesce(m["kind"], F.lit("null")))).cast("int"))
+    count = lambda m: F.lit(1) if text_only else m["tokens"].cast("int")
+    return F.flatten(F.transform(media, lambda m: F.concat(F.array(F.lit(MEDIA_START)), F.array_repeat(pad(m), count(m)), F.array(F.lit(MEDIA_END)))))
+
+
+def features(rows: DataFrame, tokenizer: Tokenizer = hashed_pieces, template: bool = True, generation_prompt: bool = False, media: Column | None = None, text_only: bool = False, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """(conv, input_ids, labels) of conversations: only what an assistant says is a training target.
 
-    media_tokens: how many placeholders stand before the text of a row (one if ``text_only``), masked.
+    media: the pictures and videos before the text of a row, see media_ids(); all their ids are masked. Pieces are
+    tokenised once; masks are made from their counts.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    said = tokenizer(text)
-    head = tokenizer(F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"))) if template else F.expr("cast(array() as array<int>)")
-    tail = tokenizer(F.lit("<|im_end|>\n") if template else F.lit("\n"))
-    media = F.array_repeat(F.lit(1), F.when(media_tokens > 0, F.lit(1) if text_only else media_tokens).otherwise(0).cast("int")) if media_tokens is not None else F.expr("cast(array() as array<int>)")
-    masked = lambda ids: F.transform(ids, lambda _: F.lit(IGNORE))
-    spoken = F.when(F.col("role") == "assistant", said).otherwise(masked(said))
-    pieces = rows.select(conv, turn, F.concat(head, media, said, tail).alias("ids"), F.concat(masked(head), masked(media), spoken, masked(tail)).alias("labels"))
+    none = F.expr("cast(array() as array<int>)")
+    head = tokenizer(F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"))) if template else none
+    before = F.concat(head, F.coalesce(media_ids(media, text_only), none)) if media is not None else head
+    said = rows.select(conv, turn, (F.col("role") == "assistant").alias("_own"), before.alias("_before"), tokenizer(F.coalesce(F.col("text"), F.lit(""))).alias("_said"), tokenizer(F.lit("<|im_end|>\n") if template else F.lit("\n")).alias("_tail"))
+    masked = lambda ids: F.array_repeat(F.lit(IGNORE), F.size(ids))
+    spoken = F.when(F.col("_own"), F.col("_said")).otherwise(masked("_said"))
+    pieces = said.select(conv, turn, F.concat("_before", "_said", "_tail").alias("ids"), F.concat(masked("_before"), spoken, masked("_tail")).alias("labels"))
     joined = pieces.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, "ids", "labels"))).alias("_all"))
     out = joined.select(conv, F.flatten(F.transform("_all", lambda x: x["ids"])).alias("input_ids"), F.flatten(F.transform("_all", lambda x: x["labels"])).alias("labels"))
     if template and generation_prompt:

@@ -54,9 +54,27 @@ def media_without_system(t):
     return _messages(t).select("conv_id", F.size(C.media_of(F.col("messages"))).cast("long").alias("n"))
 
 
-@query(r"""SELECT conv_id, turn, role, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn))::INT AS media_index FROM conversations""")
+MEDIA_SQL = "WITH m AS (SELECT *, CASE turn % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'video' END AS kind, turn % 5 + 2 AS tokens FROM conversations)"
+
+
+def _with_media(t):
+    """Messages of which two of three hold a picture or a video, of some tokens."""
+    kind = F.when(F.col("turn") % 3 == 0, "image").when(F.col("turn") % 3 == 1, "video")
+    return t("conversations").withColumn("kind", kind).withColumn("tokens", F.col("turn") % 5 + 2)
+
+
+@query(MEDIA_SQL + r""" SELECT conv_id, turn, kind, (row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn))::INT AS media_index FROM m WHERE kind IS NOT NULL""")
 def media_index(t):
-    return C.media_index(t("conversations").select("conv_id", "turn", "role"), "conv_id", "role", "turn")
+    """Pictures and videos of a conversation are numbered apart."""
+    rows = _with_media(t).where("kind is not null").select("conv_id", "turn", "kind")
+    return C.media_index(rows, "conv_id", "kind", "turn")
+
+
+@query(MEDIA_SQL + r""", i AS (SELECT *, row_number() OVER (PARTITION BY conv_id, kind ORDER BY turn) AS k FROM m)
+SELECT conv_id, turn, CASE kind WHEN 'image' THEN 'Picture ' || k || ': <|vision_start|><|image_pad|><|vision_end|>' WHEN 'video' THEN 'Video ' || k || ': <|vision_start|><|video_pad|><|vision_end|>' ELSE '' END || text AS text FROM i""")
+def media_text(t):
+    rows = C.media_index(_with_media(t), "conv_id", "kind", "turn")
+    return rows.select("conv_id", "turn", F.concat(C.media_mark(F.col("kind"), F.col("media_index")), F.col("text")).alias("text"))
 
 
 @query("SELECT conv_id, coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (role = 'assistant'), '') AS target FROM conversations GROUP BY 1")
@@ -81,6 +99,21 @@ def label_mask_counts(t):
     return K.features(t("conversations")).select("conv_id", F.size("input_ids").cast("long").alias("total"), F.size(F.filter(labels, lambda x: x == -100)).cast("long").alias("masked"), F.size(F.filter(labels, lambda x: x != -100)).cast("long").alias("kept"), add(F.col("input_ids")).alias("id_sum"), add(F.filter(labels, lambda x: x != -100)).alias("label_sum"))
 
 
+@query(rf"""
+WITH p AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS pad, turn % 5 + 2 AS n, regexp_extract_all('<|im_start|>' || role || chr(10), {PIECES}) AS head, regexp_extract_all(text, {PIECES}) AS said, regexp_extract_all('<|im_end|>' || chr(10), {PIECES}) AS tail FROM conversations),
+i AS (SELECT *, list_transform(head, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS h, list_transform(said, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS s, list_transform(tail, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS e,
+  CASE WHEN pad IS NULL THEN []::INT[] ELSE list_concat([3], list_transform(range(n), lambda x: pad), [4]) END::INT[] AS v FROM p),
+l AS (SELECT conv_id, turn, list_concat(h, v, s, e) AS ids, list_concat(list_transform(list_concat(h, v), lambda x: -100), CASE WHEN role = 'assistant' THEN s ELSE list_transform(s, lambda x: -100) END, list_transform(e, lambda x: -100)) AS labels FROM i),
+f AS (SELECT conv_id, flatten(list(ids ORDER BY turn)) AS input_ids, flatten(list(labels ORDER BY turn)) AS labels FROM l GROUP BY 1)
+SELECT conv_id, len(input_ids)::BIGINT AS total, md5(array_to_string(input_ids, ',')) AS ids, md5(array_to_string(labels, ',')) AS labels FROM f""")
+def media_features(t):
+    """Token ids with start, pads of the medium's kind and end in front of a message's text; all of them masked."""
+    none = F.expr("cast(array() as array<struct<kind:string,tokens:int>>)")
+    media = F.when(F.col("kind").isNotNull(), F.array(F.struct("kind", F.col("tokens").cast("int").alias("tokens")))).otherwise(none)
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"))
+    return K.features(_with_media(t), media=media).select("conv_id", F.size("input_ids").cast("long").alias("total"), text("input_ids").alias("ids"), text("labels").alias("labels"))
+
+
 def _batched(t, side, target=None):
     df = K.features(t("conversations")).withColumn("batch_id", F.floor(F.col("conv_id") / 4))
     out = K.batch(df, "batch_id", side, target=target)
@@ -169,6 +202,13 @@ def unpivot_labels(t):
     return m.select("doc_id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("messages"), "text"), "|").alias("texts"))
 
 
+@query(r"""SELECT doc_id, 'user,user,assistant,user,assistant' AS roles, 'View? q1|AP|Answer: q2|' || quality AS texts FROM labels""")
+def radiology_conversation(t):
+    answers = F.array(F.lit("AP"), F.col("quality").cast("string"))
+    m = t("labels").select("doc_id", C.radiology_maker(F.lit("i.png"), F.array(F.lit("q1"), F.lit("q2")), answers, "View? {question}", "Answer: {question}").alias("m"))
+    return m.select("doc_id", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("m"), "text"), "|").alias("texts"))
+
+
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'View? q' || doc_id ELSE 'Answer: q' || doc_id END AS question FROM labels""")
 def conditional_question(t):
     answer = F.when(F.col("doc_id") % 3 == 0, F.lit("AP")).otherwise(F.lit("Edema"))
@@ -183,12 +223,12 @@ def multiple_choice_prompt(t):
 
 
 @query(r"""WITH a AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 2 = 0 THEN 'qa_pairs' ELSE 'caption' END AS kind FROM conversations)
-SELECT conv_id, turn, CASE WHEN kind = 'qa_pairs' THEN 'user,user,assistant' ELSE 'user,assistant' END AS roles, CASE WHEN kind = 'qa_pairs' THEN 'Q?|' || text ELSE text END AS texts, CASE WHEN kind = 'qa_pairs' THEN '' ELSE 'v' || conv_id END AS images FROM a""")
+SELECT conv_id, turn, CASE WHEN kind = 'qa_pairs' THEN 'user,user,assistant' ELSE 'user,assistant' END AS roles, CASE WHEN kind = 'qa_pairs' THEN 'Q?|' || text ELSE text END AS texts, '' AS images, 'v' || conv_id AS videos FROM a""")
 def typed_dispatch(t):
     kind = F.when(F.col("conv_id") % 2 == 0, "qa_pairs").otherwise("caption")
     qa = F.array(F.struct(F.lit("Q?").alias("question"), F.col("text").alias("answer")))
     m = t("conversations").select("conv_id", "turn", C.typed_maker(kind, qa, F.concat(F.lit("v"), "conv_id"), F.col("text")).alias("m"))
-    return m.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("m"), "text"), "|").alias("texts"), F.array_join(C.contents(F.col("m"), "image"), ",").alias("images"))
+    return m.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("m"), "text"), "|").alias("texts"), F.array_join(C.contents(F.col("m"), "image"), ",").alias("images"), F.array_join(C.contents(F.col("m"), "video"), ",").alias("videos"))
 
 
 @query(r"""SELECT vec_id, 'user,assistant' AS roles, 'Which digit?|' || label AS texts, 'img' || vec_id AS images FROM embeddings""")
