@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import conversations as C
+
 JUDGED = T.StructType([T.StructField("id", T.LongType()), T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("model_answer", T.StringType()), T.StructField("is_correct", T.BooleanType())])
 RESULT = T.StructType(JUDGED.fields[:4])
 
@@ -22,20 +25,50 @@ class Dataset:
     media_dir: str | None = None
     list_field: str | None = None
     schema: T.StructType | None = None
+    #: Templates of makers that ask by a fixed text; {question} stands for the item's own.
+    question: str = "{question}"
+    view_question: str = "{question}"
+
+
+def _field(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _questions(df: DataFrame, d: Dataset) -> Column:
+    return F.col(d.list_field) if d.list_field else F.array(F.struct(_field(df, "question").alias("question"), _field(df, "answer").alias("answer")))
+
+
+def _listed(df: DataFrame, name: str) -> Column:
+    return F.col(name) if dict(df.dtypes)[name].startswith("array") else F.array(name)
+
+
+def _folder(d: Dataset) -> Column | None:
+    return F.lit(d.media_dir) if d.media_dir else None
+
+
+#: What turns the items of a dataset into messages: (items, dataset, training) -> Column.
+MAKERS: dict[str, Callable[[DataFrame, Dataset, bool], Column]] = {
+    "text": lambda df, d, training: C.text_maker(F.col("text")),
+    "vqa": lambda df, d, training: C.vqa_maker(_questions(df, d), _field(df, "image"), _field(df, "video"), training, _folder(d)),
+    "label": lambda df, d, training: C.label_maker(F.col("image"), F.col("label"), d.question, training),
+    "caption": lambda df, d, training: C.caption_maker(F.col("image"), F.col("caption")) if "image" in df.columns else C.caption_maker(F.col("video"), F.col("caption"), "video"),
+    "columns": lambda df, d, training: C.columns_maker(df, exclude=["id", "split"]),
+    "radiology": lambda df, d, training: C.radiology_maker(F.col("image"), _listed(df, "question"), _listed(df, "answer"), d.view_question, d.question, training),
+    "typed": lambda df, d, training: C.typed_maker(F.col("type"), _questions(df, d), _field(df, "video"), _field(df, "caption"), training),
+    "choice": lambda df, d, training: C.choice_maker(F.col("question"), F.col("options")),
+}
 
 
 class Catalog:
     """Datasets by name; an unknown name is an error that lists those there are."""
 
-    MAKERS = ("text", "vqa", "label", "caption", "columns", "radiology", "typed", "choice")
-
     def __init__(self, spark: SparkSession, datasets: dict[str, Dataset] | None = None):
         self.spark, self.datasets = spark, {}
         for name, dataset in (datasets or {}).items():
             self.add(name, dataset)
 
     def add(self, name: str, dataset: Dataset) -> None:
-        if dataset.maker not in self.MAKERS:
+        if dataset.maker not in MAKERS:
             raise ValueError(f"{name}: unknown maker {dataset.maker}")
         self.datasets[name] = dataset
 
@@ -47,6 +80,13 @@ class Catalog:
         df = reader.option("multiLine", d.format == "json_array").format("json" if d.format in ("jsonl", "json_array") else d.format).load(d.path)
         return df if split is None else df.where(F.col("split") == split)
 
+    def conversations(self, name: str, split: str | None = None, training: bool = True) -> DataFrame:
+        """The items of a dataset with a column messages, by its maker. A list of questions is for training only."""
+        d, df = self.datasets.get(name), self.load(name, split)
+        if d.list_field and not training:
+            raise ValueError(f"{name}: items with several questions can't be asked at inference")
+        return df.withColumn("messages", MAKERS[d.maker](df, d, training))
+
     def view(self, name: str, split: str | None = None) -> DataFrame:
         df = self.load(name, split)
         df.createOrReplaceTempView(name)

@@ -103,7 +103,7 @@ def test_frame_plan_of_every_part(spark, tmp_path):
         if fps:
             n = min(int(min(max(round(total / fps), 4), 420)), total)
             want += [(k, i, f) for i, f in enumerate(np.linspace(0, total - 1, n).astype(int).tolist())]
-    got = [tuple(r) for r in QUERIES["frame_plan_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["frame_plan"](spark, str(tmp_path)).collect()]
     assert sorted(got) == want and {k for k, _, _ in want} == {1, 2, 11, 419, 4999, 5003, 9997}
 
 
@@ -222,6 +222,40 @@ def test_row_steps(spark):
     assert R.sample(df, 4, "s", "id").count() == 4 and R.halves(df, "s", "id").count() == 5
     files = spark.createDataFrame([(9, "optimizer.pt"), (10, "optimizer.pt"), (9, "config.json"), (9, "model-1.safetensors")], "step int, name string")
     assert [r["name"] for r in R.retention(files).where("delete").collect()] == ["optimizer.pt"]
+    kept = ["preprocessor_config.json", "video_preprocessor_config.json", "vocab.json", "merges.txt", "special_tokens_map.json", "added_tokens.json", "chat_template.jinja", "model.safetensors.index.json"]
+    files = spark.createDataFrame([(1, n) for n in [*kept, "trainer_state.json"]] + [(2, "optimizer.pt")], "step int, name string")
+    assert [r["name"] for r in R.retention(files).where("delete").collect()] == ["trainer_state.json"]
+    for n in (0, 1, 7, 5000):
+        some = {r["id"] for r in R.halves(spark.range(n), "s", "id").collect()}
+        order = [r["id"] for r in spark.range(n).orderBy(J.salted("s", F.col("id")), "id").collect()]
+        assert some == set(order[: n // 2])
+    steps = R.standard_steps("a_set", True, "k", 5, lambda d: d.where("k <> 3"), lambda d: d.withColumn("m", F.lit(1)), lambda d: d.withColumn("num_tokens", F.col("k") + F.col("m")))
+    assert sorted((r["id"], r["num_tokens"]) for r in R.run_steps(spark.range(9).withColumnRenamed("id", "k"), steps).collect()) == [(0, 1), (1, 2), (2, 3), (4, 5)]
+    assert R.run_steps(spark.range(9).withColumnRenamed("id", "k"), R.standard_steps("mnist", True, "k", 5, None, None, None)).columns == ["k", "id"]
+    with pytest.raises(ValueError, match="num_tokens"):
+        R.require(df, "num_tokens")
+
+
+def test_prompts_by_name(spark, caplog):
+    chat = F.array(C.says("user", F.lit("q")), C.says("assistant", F.lit("a")))
+    out = one(spark, C.with_prompts(chat, [F.lit(1)], "one,gone,two", "three", ({"one": ["1"], "two": ["2"]}, {"three": ["3"]})))
+    assert [[p["text"] for p in m["content"]] for m in out][:3] == [["1", "3"], ["2"], ["q"]] and "gone" in caplog.text
+
+
+def test_catalogue_makes_conversations(spark, tmp_path):
+    items = spark.createDataFrame([(1, "q1", "a1", "i.png", None), (2, "q2", "AP", None, "v.mp4")], "id int, question string, answer string, image string, video string")
+    items.write.parquet(f"{tmp_path}/items")
+    sets = {"qa": SO.Dataset(f"{tmp_path}/items", media_dir="media"), "list": SO.Dataset(f"{tmp_path}/items", list_field="pairs"), "xray": SO.Dataset(f"{tmp_path}/items", maker="radiology", question="Is {question} there?", view_question="Which view of {question}?")}
+    catalog = SO.Catalog(spark, sets)
+    rows = {r["id"]: r["messages"] for r in catalog.conversations("qa").collect()}
+    assert [m["role"] for m in rows[1]] == ["user", "user", "assistant"] and rows[2][0]["content"][0]["type"] == "video" and rows[1][0]["content"][0]["uri"] == "media/i.png"
+    assert len(catalog.conversations("qa", training=False).first()["messages"]) == 2
+    asked = {r["id"]: r["messages"][1]["content"][0]["text"] for r in catalog.conversations("xray").collect()}
+    assert asked == {1: "Is q1 there?", 2: "Which view of q2?"}
+    with pytest.raises(ValueError, match="inference"):
+        catalog.conversations("list", training=False)
+    with pytest.raises(ValueError, match="unknown maker"):
+        catalog.add("x", SO.Dataset("p", maker="none"))
 
 
 def test_scores(spark):
@@ -278,7 +312,10 @@ def test_conversations(spark):
 @pytest.mark.parametrize("template,ask,text_only", list(itertools.product([True, False], repeat=3)))
 def test_feature_invariants(spark, template, ask, text_only):
     rows = spark.createDataFrame([(1, 0, "system", "Be kind.", 0), (1, 1, "user", "What is it?", 6), (1, 2, "assistant", "A cat, 3 y old.", 0), (2, 0, "user", "Hi", 4), (2, 1, "assistant", "yes " * 10, 0)], "conv_id int, turn int, role string, text string, media int")
-    out = K.features(rows, template=template, generation_prompt=ask, media_tokens=F.col("media"), text_only=text_only)
+    media = F.when(F.col("media") > 0, F.array(F.struct(F.lit("image").alias("kind"), F.col("media").alias("tokens"))))
+    out = K.features(rows, template=template, generation_prompt=ask, media=media, text_only=text_only)
+    plain = {r["conv_id"]: len(r["input_ids"]) for r in K.features(rows, template=template, generation_prompt=ask).collect()}
+    assert {r["conv_id"]: len(r["input_ids"]) - plain[r["conv_id"]] for r in out.collect()} == ({1: 3, 2: 3} if text_only else {1: 8, 2: 6})
     for r in out.collect():
         assert len(r["input_ids"]) == len(r["labels"]) and all(b in (-100, a) for a, b in zip(r["input_ids"], r["labels"], strict=True))
         assert sum(b == -100 for b in r["labels"]) > (1 if text_only else 4)
@@ -294,6 +331,10 @@ def test_tool_calls(spark):
     got = [r["x"] and (r["x"]["name"], r["x"]["arguments"]) for r in column(spark, texts).select(TC.parse(F.col("x")).alias("x")).collect()]
     assert got == [None, ("f", '{"x":1}'), None, ("g", "{}"), ("a", "{}")]
     assert [r["x"] for r in column(spark, texts).select(TC.strip_calls(F.col("x")).alias("x")).collect()] == ["none", "a  b", "", "", ""]
+    odd = ['{"name": "f"} junk', '{"name": "f"}, {"name": "g"}', "{'name': 'f'}", '{"arguments": {"q": [1, "a"]}}', "[1]", '{"name": "f"', '"f"', '{"name": "f", "arguments": {"a": {"b": null}}} ', "", "5"]
+    got = [r["x"] and (r["x"]["name"], r["x"]["arguments"]) for r in column(spark, [f"<tool_call>{x}</tool_call>" for x in odd]).select(TC.parse(F.col("x")).alias("x")).collect()]
+    assert got == [None, None, None, (None, '{"q":[1,"a"]}'), None, None, None, ("f", '{"a":{"b":null}}'), None, None]
+    assert one(spark, TC.strip_calls(TC.format_result(F.lit("r"), F.lit("call_1")))) == "" and one(spark, TC.format_result(F.lit("r"), F.lit("c"))) == "<tool_result id='c'>r</tool_result>"
     again = TC.parse(TC.format_call(F.lit("f"), F.lit('{"x":1}')))
     assert one(spark, again)["arguments"] == '{"x":1}'
     assert one(spark, TC.extend_mask(F.array(F.lit(0)), F.lit(2))) == [0, 1, 1]
