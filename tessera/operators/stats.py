@@ -38,11 +38,50 @@ def share(x: Column, *by: str) -> Column:
     return x / F.sum(x).over(Window.partitionBy(*by))
 
 
+def cumulative(df: DataFrame, x: str, *by: str, ranges: int = 64) -> DataFrame:
+    """(by, x, n, before): the distinct values of each group, how often they occur and how many rows have a lesser one.
+
+    Values fall into ranges of about equal counts; they are summed within a range and shifted by the ranges below, so no
+    task sorts a whole group. Rows are counted with partial results, so a value of many rows costs one row.
+    """
+    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
+    bounds = sorted(set(counts.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first()["b"] or []))
+    placed = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(x))) if bounds else F.lit(0))
+    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    shift = shift.select(F.col("_range").alias("_of"), "_shift", *[F.col(c).alias(f"_of_{c}") for c in by])
+    within = Window.partitionBy(*by, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    on = F.col("_range") == F.col("_of")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return summed.join(shift, on).select(*by, x, "n", (F.col("_inside") + F.col("_shift")).alias("before"))
+
+
 def average_ranks(df: DataFrame, x: str, name: str, *by: str) -> DataFrame:
     """Ranks in which ties share their mean."""
-    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy(x)
-    ties = Window.partitionBy(*by, x)
-    return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2)
+    ranks = cumulative(df, x, *by).select(F.col(x).alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(name), *[F.col(c).alias(f"_by_{c}") for c in by])
+    on = F.col(x).eqNullSafe(F.col("_value"))
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return df.join(ranks, on).select(*df.columns, name)
+
+
+def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """(by, a column for each of shares): exact quantiles with linear interpolation; null and NaN are left out."""
+    values = cumulative(df.select(*by, not_nan(F.col(x)).alias("_x")).where("_x is not null"), "_x", *by)
+    total = values.groupBy(*by).agg(F.sum("n").alias("_rows")).select("_rows", *[F.col(c).alias(f"_by_{c}") for c in by])
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    own = values.join(total, on)
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("_x")))
+    found = []
+    for k, p in enumerate(shares.values()):
+        place = F.lit(p) * (F.col("_rows") - 1)
+        found += [at(F.floor(place)).alias(f"_lo{k}"), at(F.ceil(place)).alias(f"_hi{k}"), F.max(place - F.floor(place)).alias(f"_f{k}")]
+    out = own.groupBy(*by).agg(*found)
+    return out.select(*by, *[(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_f{k}")).alias(name) for k, name in enumerate(shares)])
 
 
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:

@@ -194,8 +194,8 @@ def nan_mean(t):
 
 @query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.25), 6) AS low, round(quantile_cont(l_extendedprice, 0.75), 6) AS high FROM lineitem GROUP BY 1")
 def quantile_band(t):
-    low, high = ST.quantile_band(F.col("l_extendedprice"))
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+    out = ST.quantiles(t("lineitem"), "l_extendedprice", {"low": 0.25, "high": 0.75}, "l_returnflag")
+    return out.select("l_returnflag", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query("SELECT l_linestatus, count(*)::BIGINT AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY 1")

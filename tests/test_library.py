@@ -396,3 +396,20 @@ def test_outside_judge(spark):
     judged = S.judged_by(rows, lambda part: [None if m is None else m == a for a, m in zip(part["answer"], part["model_answer"], strict=True)])
     r = S.judge_summary(judged).first()
     assert (r["total"], r["correct"], r["invalid"]) == (3, 1, 1)
+
+
+def test_quantiles_and_ranks_by_ranges(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), float(rng.choice([1, 2, 2, 3, rng.randrange(500)]))) for _ in range(3000)] + [("a", None), ("b", float("nan")), ("c", 5.0), (None, 1.0), (None, 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r["g"]: (r["low"], r["mid"]) for r in ST.quantiles(df, "x", {"low": 0.25, "mid": 0.5}, "g").collect()}
+    for g in ("a", "b", "c", None):
+        own = [x for k, x in rows if k == g and x is not None and not math.isnan(x)]
+        assert got[g] == pytest.approx(tuple(np.quantile(own, [0.25, 0.5])))
+    clean = df.where("x is not null and not isnan(x)")
+    ranked = ST.average_ranks(clean, "x", "rank", "g").collect()
+    for g in ("a", "b", "c", None):
+        own = [x for k, x in rows if k == g and x is not None and not math.isnan(x)]
+        assert sorted((r["x"], r["rank"]) for r in ranked if r["g"] == g) == sorted((x, sum(y < x for y in own) + (sum(y == x for y in own) + 1) / 2) for x in own)
