@@ -45,6 +45,14 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
+def plain(chunk: str) -> bool:
+    """Whether a chunk is letters of Latin-1 only: normalising leaves each of them one letter, so they make one word.
+
+    Other letters may turn into a letter and a mark, to which punctuation behind it is then joined.
+    """
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff")
+
+
 class Words:
     """Token ids of texts, by white-space-free chunks that are remembered up to a bound.
 
@@ -54,6 +62,8 @@ class Words:
     """
 
     LIMIT, LONG = 400_000, 48
+    #: Plain words that are tokenised as one text.
+    RUN = 500
     MARKS = ".,;:!?"
     #: By path: a worker process keeps what it has learned from one task to the next.
     kept: dict[str, Words] = {}
@@ -73,23 +83,33 @@ class Words:
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids of tokens that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _learn(self, chunks: set[str]) -> set[str]:
-        """A run of punctuation behind plain letters is a token run of its own; both parts are looked up apart.
+    def _words(self, words: list[str]) -> list[bytes]:
+        """As _ids, for plain words: RUN of them are given to the tokenizer as one text and cut behind each word's last token."""
+        runs, out = [words[i : i + self.RUN] for i in range(0, len(words), self.RUN)], []
+        for run, joined in zip(runs, self._ids([" ".join(run) for run in runs]), strict=True):
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(joined, "<u4")]) + 1)).tolist()
+            if len(stops) == len(run):
+                out += [joined[a:b] for a, b in zip([0, *stops], stops)]  # noqa: B905
+            else:  # a vocabulary without word ends
+                out += self._ids(run)
+        return out
 
-        Plain letters are those of Latin-1: normalising leaves each of them one letter. Others may turn into a letter
-        and a mark, to which the punctuation is then joined.
-        """
+    def _learn(self, chunks: set[str]) -> set[str]:
+        """A run of punctuation behind plain letters is a token run of its own; both parts are looked up apart."""
         known, old, wanted, split = self.known, self.old, set(), []
         for c in chunks:
             if c in old:
                 known[c] = old[c]
                 continue
             head = c.rstrip(self.MARKS)
-            if len(head) < len(c) and head.isalpha() and max(head) <= "\xff":
+            if len(head) < len(c) and plain(head):
                 tail = c[len(head) :]
                 split.append((c, head, tail))
                 wanted.add(head)
@@ -97,7 +117,10 @@ class Words:
             else:
                 wanted.add(c)
         new = [c for c in wanted if c not in known]
-        known.update(zip(new, self._ids(new), strict=True))
+        words = [c for c in new if len(c) <= self.LONG and plain(c)]
+        known.update(zip(words, self._words(words), strict=True))
+        other = [c for c in new if c not in known]
+        known.update(zip(other, self._ids(other), strict=True))
         for c, head, tail in split:
             known[c] = known[head] + known[tail]
         return wanted

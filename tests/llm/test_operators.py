@@ -580,6 +580,17 @@ def test_packing_ids_of_letters_before_marks():
         assert words.encode(texts) == want
 
 
+def test_packing_words_in_runs():
+    """Words tokenised together have the ids they have alone, also where a vocabulary marks no word ends."""
+    w = packing.Words(packing.tokenizer_path())
+    letters = [chr(i) for i in range(0xAA, 0x100) if chr(i).isalpha()]
+    words = [a + "ing" + b for a in letters for b in letters] + ["s", "ll", "Aaa", "z" * 300]
+    alone = w._ids(words)
+    assert w._words(words) == alone and w._words([]) == []
+    w.ends[:] = False
+    assert w._words(words[:1201]) == alone[:1201]
+
+
 def test_packing_long_chunks_are_not_kept():
     words = packing.Words(packing.tokenizer_path())
     texts = [f"{k}{'ab' * 50_000}. short{k}." for k in range(5)]
