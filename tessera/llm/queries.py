@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP12_SQL, op12_centroids
 from .importance import op6_importance
 from .jaccard import op10_jaccard
 from .licenses import op3_licenses
@@ -11,7 +12,9 @@ from .mixing import OP7_SQL, op7_mixing
 from .packing import op8_packing
 from .pii import op5_private
 from .repetition import op4_repetition
+from .spelling import op11_spelling
 from .toxicity import op9_toxicity
+from .urls import op13_urls
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -24,10 +27,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard": op10_jaccard,
+    "op11_spelling": op11_spelling,
+    "op12_centroids": op12_centroids,
+    "op13_urls": op13_urls,
 }
 
 SQL = {
     "op1_line_dedup": OP1_SQL,
     "op2_merkle": OP2_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_centroids": OP12_SQL,
 }

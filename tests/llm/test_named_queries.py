@@ -19,6 +19,9 @@ CONTRACT = {
     "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op9_toxicity": "doc_id held_out score predicted",
     "op10_jaccard": "doc_id n_shingles component_id",
+    "op11_spelling": "word form root n n_near form_n",
+    "op12_centroids": "vec_id cluster distance cluster_inertia inertia centroid_sha256",
+    "op13_urls": "page_id host path rule verdict",
     "pipeline": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
 }
 
@@ -32,14 +35,16 @@ def test_query(spark, sf_dir, name):
     found = entry.queries()[name](spark, sf_dir)
     rows = found.toPandas()
     assert set(CONTRACT[name].split()) <= set(found.columns)
-    n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
-    assert len(rows) == n or name in ("op8_packing", "pipeline") and len(rows) > 0
+    table = {"op12_centroids": "embeddings", "op13_urls": "pages"}.get(name, "documents")
+    n = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    assert len(rows) == n or name in ("op8_packing", "op11_spelling", "pipeline") and len(rows) > 0
     if name not in SQL:
         return
     duck = duckdb.connect()
-    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    want = duck.execute(SQL[name]).df()[list(found.columns)].sort_values("doc_id", ignore_index=True)
-    got = rows.sort_values("doc_id", ignore_index=True)
+    duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    key = "vec_id" if table == "embeddings" else "doc_id"
+    want = duck.execute(SQL[name]).df()[list(found.columns)].sort_values(key, ignore_index=True)
+    got = rows.sort_values(key, ignore_index=True)
     for c in found.columns:
         if got[c].dtype.kind == "f":
             assert got[c].to_numpy() == pytest.approx(want[c].to_numpy(), abs=1e-9)
