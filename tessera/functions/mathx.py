@@ -27,14 +27,17 @@ def floor_to(x: Column, factor: int = FACTOR) -> Column:
 
 
 def smart_resize(h: Column, w: Column, bounds: tuple[int, int], factor: int = FACTOR) -> tuple[Column, Column]:
-    """(height, width) as multiples of factor with an area within bounds, keeping the aspect ratio."""
+    """(height, width) as multiples of factor with an area within bounds, keeping the aspect ratio.
+
+    No side falls below factor, so the area of an image of extreme sides may exceed the upper bound.
+    """
     low, high = bounds
     h, w = h.cast("double"), w.cast("double")
     least = F.lit(float(factor))
     rh, rw = F.greatest(least, round_to(h, factor)), F.greatest(least, round_to(w, factor))
     shrink, grow = F.sqrt(h * w / F.lit(float(high))), F.sqrt(F.lit(float(low)) / (h * w))
     too_big, too_small = rh * rw > high, rh * rw < low
-    pick = lambda side, rounded: F.when(too_big, floor_to(side / shrink, factor)).when(too_small, ceil_to(side * grow, factor)).otherwise(rounded).cast("long")
+    pick = lambda side, rounded: F.when(too_big, F.greatest(least, floor_to(side / shrink, factor))).when(too_small, ceil_to(side * grow, factor)).otherwise(rounded).cast("long")
     return pick(h, rh), pick(w, rw)
 
 

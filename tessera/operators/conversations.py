@@ -82,12 +82,13 @@ def radiology_maker(image: Column, questions: Column, answers: Column, view_temp
     return F.when(F.size(questions) != F.size(answers), uneven).otherwise(F.concat(media, F.flatten(asked)))
 
 
-def columns_maker(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = ()) -> Column:
-    """A question and an answer for each kept column."""
+def columns_maker(df: DataFrame, include: Sequence[str] | None = None, exclude: Sequence[str] = (), image: str = "image") -> Column:
+    """A user turn with the image, then a question and an answer for each other kept column; without a column image, only these."""
     if set(include or ()) & set(exclude):
         raise ValueError("a column is both included and excluded")
-    kept = [c for c in df.columns if (include is None or c in include) and c not in exclude]
-    return F.flatten(F.array(*[F.array(says("user", F.lit(f"{c.lower()}: ")), says("assistant", F.col(c).cast("string"))) for c in kept]))
+    kept = [c for c in df.columns if (include is None or c in include) and c not in exclude and c != image]
+    media = [F.array(message("user", part("image", F.col(image))))] if image in df.columns else []
+    return F.flatten(F.array(*media, *[F.array(says("user", F.lit(f"{c.lower()}: ")), says("assistant", F.col(c).cast("string"))) for c in kept]))
 
 
 def view_question(question: Column, answer: Column, view_template: str, template: str) -> Column:

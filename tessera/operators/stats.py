@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
 
 def not_nan(x: Column) -> Column:
     return F.nullif(x.cast("double"), F.lit(float("nan")))
@@ -38,50 +39,90 @@ def share(x: Column, *by: str) -> Column:
     return x / F.sum(x).over(Window.partitionBy(*by))
 
 
-def cumulative(df: DataFrame, x: str, *by: str, ranges: int = 64) -> DataFrame:
-    """(by, x, n, before): the distinct values of each group, how often they occur and how many rows have a lesser one.
+def _same(left: str, right: str, *by: str) -> Column:
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`"))
+    return on
+
+
+def cumulative(df: DataFrame, x: str, *by: str, n: Column | None = None) -> DataFrame:
+    """(by, x, n, before): the distinct values of each group, how many rows have them and how many have a lesser one.
 
-    Values fall into ranges of about equal counts; they are summed within a range and shifted by the ranges below, so no
-    task sorts a whole group. Rows are counted with partial results, so a value of many rows costs one row.
+    Counts are made with partial results, dealt to ranges of (by, x) and written once; they are summed within a range
+    and shifted by the ranges below, so no task sorts a whole group. n: the rows that a row of df stands for. Writes its
+    table while the plan is built.
     """
-    counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
-    bounds = sorted(set(counts.agg(F.percentile_approx(x, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first()["b"] or []))
-    placed = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(x))) if bounds else F.lit(0))
+    counts = df.groupBy(*by, x).agg(F.sum(F.lit(1) if n is None else n).alias("n"))
+    placed = materialize(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()), "counts")
     below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    shift = shift.select(F.col("_range").alias("_of"), "_shift", *[F.col(c).alias(f"_of_{c}") for c in by])
     within = Window.partitionBy(*by, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     summed = placed.withColumn("_inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    on = F.col("_range") == F.col("_of")
-    for c in by:
-        on &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    return summed.join(shift, on).select(*by, x, "n", (F.col("_inside") + F.col("_shift")).alias("before"))
+    return summed.alias("a").join(shift.alias("s"), _same("a", "s", *by, "_range")).select(*[f"a.{c}" for c in by], f"a.{x}", "a.n", (F.col("_inside") + F.col("_shift")).alias("before"))
 
 
 def average_ranks(df: DataFrame, x: str, name: str, *by: str) -> DataFrame:
     """Ranks in which ties share their mean."""
-    ranks = cumulative(df, x, *by).select(F.col(x).alias("_value"), (F.col("before") + (F.col("n") + 1) / 2).alias(name), *[F.col(c).alias(f"_by_{c}") for c in by])
-    on = F.col(x).eqNullSafe(F.col("_value"))
-    for c in by:
-        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    return df.join(ranks, on).select(*df.columns, name)
+    ranks = cumulative(df, x, *by).select(*by, x, (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return df.alias("d").join(ranks.alias("r"), _same("d", "r", *by, x)).select("d.*", name)
+
+
+#: A sketch has GRID steps of equal shares, each right to a tenth of a step. A bracket is BRACKET steps wide; one of more
+#: than INSIDE rows is narrowed by another sketch of what lies in it.
+GRID, BRACKET, INSIDE = 1_000, 6, 2_000_000
 
 
 def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> DataFrame:
-    """(by, a column for each of shares): exact quantiles with linear interpolation; null and NaN are left out."""
-    values = cumulative(df.select(*by, not_nan(F.col(x)).alias("_x")).where("_x is not null"), "_x", *by)
-    total = values.groupBy(*by).agg(F.sum("n").alias("_rows")).select("_rows", *[F.col(c).alias(f"_by_{c}") for c in by])
-    on = F.lit(True)
-    for c in by:
-        on &= F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    own = values.join(total, on)
-    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("_x")))
-    found = []
-    for k, p in enumerate(shares.values()):
-        place = F.lit(p) * (F.col("_rows") - 1)
-        found += [at(F.floor(place)).alias(f"_lo{k}"), at(F.ceil(place)).alias(f"_hi{k}"), F.max(place - F.floor(place)).alias(f"_f{k}")]
-    out = own.groupBy(*by).agg(*found)
-    return out.select(*by, *[(F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * F.col(f"_f{k}")).alias(name) for k, name in enumerate(shares)])
+    """(by, a column for each of shares): exact quantiles with linear interpolation; null and NaN are left out.
+
+    Selection by histograms, for all groups and shares at once: a sketch brackets each quantile between two values, a
+    second pass counts the rows below a bracket and those of each value in it, and the quantile is picked from these.
+    Groups of more than INSIDE * GRID / BRACKET rows take a pass more for each factor of GRID / BRACKET. Whether a
+    bracket holds its quantile is checked; one that doesn't takes the whole range. Runs its passes while the plan is built.
+    """
+    rows, grid = df.select(*by, not_nan(F.col(x)).alias("_x")).where("_x is not null"), [i / GRID for i in range(GRID + 1)]
+    sketch = lambda v: F.percentile_approx(v, grid, 10 * GRID).alias("steps")
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), sketch(F.col("_x")))
+    wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("rows") - 1)).alias("place")) for k, p in enumerate(shares.values())]))
+    brackets = _bracket(whole.select(*by, "rows", "steps", F.lit(0).cast("long").alias("under"), wanted.alias("w")).select(*by, "w.*", "rows", "steps", "under"), *by)
+    while (brackets.agg(F.max("rows")).first()[0] or 0) > INSIDE:
+        narrow = _hits(rows, brackets, *by).groupBy(*by, "k").agg(F.count_if("below").alias("under"), F.count_if(~F.col("below")).alias("rows"), sketch(F.when(~F.col("below"), F.col("_x"))))
+        brackets = _bracket(brackets.alias("b").join(narrow.alias("n"), _same("b", "n", *by, "k")).select(*[f"b.{c}" for c in by], "b.k", "b.place", "n.rows", "n.steps", "n.under"), *by)
+    found = _counted(rows, brackets, *by)
+    if not found.where("missed").isEmpty():
+        everything = brackets.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
+        found = _counted(rows, everything, *by)
+    at = lambda k, name: F.max(F.when(F.col("k") == k, F.col(name)))
+    return found.groupBy(*by).agg(*[F.when(at(k, "part") == 0, at(k, "low")).otherwise(at(k, "low") + (at(k, "high") - at(k, "low")) * at(k, "part")).alias(name) for k, name in enumerate(shares)])
+
+
+def _bracket(sketched: DataFrame, *by: str) -> DataFrame:
+    """(by, k, place, lo, hi, rows): steps some way to both sides of a place, and about how many rows lie between."""
+    step = (F.col("place") - F.col("under")) / F.greatest(F.lit(1), F.col("rows") - 1) * GRID
+    lo, hi = F.get("steps", F.floor(step).cast("int") - BRACKET // 2), F.get("steps", F.ceil(step).cast("int") + BRACKET // 2)
+    chosen = sketched.select(*by, "k", "place", F.coalesce(lo, F.lit(float("-inf"))).alias("lo"), F.coalesce(hi, F.lit(float("inf"))).alias("hi"), "rows")
+    return materialize(chosen.withColumn("rows", F.when(F.col("lo") < F.col("hi"), F.ceil(F.col("rows") * BRACKET / GRID)).otherwise(0)), "brackets")
+
+
+def _hits(rows: DataFrame, brackets: DataFrame, *by: str) -> DataFrame:
+    """(by, k, below, _x): each row once for each bracket that it lies in or below of."""
+    packed = brackets.groupBy(*by).agg(F.collect_list(F.struct("k", "lo", "hi")).alias("_brackets"))  # a row for each group, with an entry for each share
+    joined = rows.alias("r").join(packed.alias("p"), _same("r", "p", *by))
+    hit = F.explode(F.transform(F.filter("_brackets", lambda b: F.col("_x") <= b["hi"]), lambda b: F.struct(b["k"].alias("k"), (F.col("_x") < b["lo"]).alias("below"))))
+    return joined.select(*[f"r.{c}" for c in by], "_x", hit.alias("h")).select(*by, "h.*", "_x")
+
+
+def _counted(rows: DataFrame, brackets: DataFrame, *by: str) -> DataFrame:
+    """(by, k, low, high, part, missed): the values at the two ranks round each place; missed if the bracket lacks one."""
+    values = F.when(~F.col("below"), F.col("_x"))
+    counts = _hits(rows, brackets, *by).groupBy(*by, "k", "below", values.alias("_x")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("_x")).rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).alias("a").join(brackets.alias("b"), _same("a", "b", *by, "k"))
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("_x")))
+    place = F.col("place")
+    out = own.groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.k").alias("k")).agg(at(F.floor(place)).alias("low"), at(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part"))
+    return materialize(out.withColumn("missed", F.col("low").isNull() | F.col("high").isNull()), "quantiles")
 
 
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -91,9 +132,23 @@ def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(rows, x, "_rx", *by), y, "_ry", *by)
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("r"))
+    """(by, n, r) over rows that have both values; ties share their mean rank.
+
+    Equal pairs are counted once and written; ranks are joined to these. Writes its tables while the plan is built.
+    """
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = materialize(pairs, "pairs")
+    ranked = pairs.alias("p")
+    for v in ("_x", "_y"):
+        ranks = cumulative(pairs, v, *by, n=F.col("_n")).withColumn(f"_rank{v}", F.col("before") + (F.col("n") + 1) / 2).alias(v)
+        ranked = ranked.join(ranks, _same("p", v, *by, v))
+    a, b, n = F.col("_rank_x"), F.col("_rank_y"), F.col("_n")
+    total = F.sum(n).alias("n")
+    # Ranks have the mean (n + 1) / 2; products of ranks less that lose no digits.
+    middle = pairs.groupBy(*by).agg(((F.sum("_n") + 1) / 2).alias("_middle"))
+    own = ranked.join(middle.alias("m"), _same("p", "m", *by)).withColumns({"_a": a - F.col("_middle"), "_b": b - F.col("_middle")})
+    sums = own.groupBy(*[F.col(f"p.{c}").alias(c) for c in by]).agg(total, F.sum(n * F.col("_a") * F.col("_b")).alias("_ab"), F.sum(n * F.col("_a") * F.col("_a")).alias("_aa"), F.sum(n * F.col("_b") * F.col("_b")).alias("_bb"))
+    return sums.select(*by, "n", F.try_divide("_ab", F.sqrt(F.col("_aa") * F.col("_bb"))).alias("r"))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -195,11 +195,12 @@ def qa_pairs(t):
     return C.qa_pairs(t("conversations"))
 
 
-@query(r"""SELECT doc_id, 'user,assistant,user,assistant' AS roles, 'quality: |' || quality || '|toxic: |' || toxic AS texts FROM labels""")
+@query(r"""SELECT doc_id, 'user,user,assistant,user,assistant' AS roles, 'media/' || doc_id || '.png' AS images, 'quality: |' || quality || '|toxic: |' || toxic AS texts FROM labels""")
 def unpivot_labels(t):
-    labels = t("labels")
+    """Labelled images: the image, then a question for each label."""
+    labels = t("labels").withColumn("image", F.concat(F.lit("media/"), "doc_id", F.lit(".png")))
     m = labels.select("doc_id", C.columns_maker(labels, exclude=["doc_id"]).alias("messages"))
-    return m.select("doc_id", F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("messages"), "text"), "|").alias("texts"))
+    return m.select("doc_id", F.array_join(C.contents(F.col("messages"), "image"), "|").alias("images"), F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("messages"), "text"), "|").alias("texts"))
 
 
 @query(r"""SELECT doc_id, 'user,user,assistant,user,assistant' AS roles, 'View? q1|AP|Answer: q2|' || quality AS texts FROM labels""")

@@ -15,10 +15,11 @@ from ..operators import synth as SY
 from ..operators import toolcalls as TC
 from .registry import query
 
-SIDES = "(l_partkey * 7 + l_linenumber * 131) % 3000 + 1 AS h, (l_suppkey * 53 + l_orderkey * 17) % 4000 + 1 AS w"
+#: Line 7 of an order has extreme sides: at most 40 by up to 240,000.
+SIDES = "((l_partkey * 7 + l_linenumber * 131) % CASE WHEN l_linenumber = 7 THEN 40 ELSE 3000 END) + 1 AS h, ((l_suppkey * 53 + l_orderkey * 17) % 4000 + 1) * CASE WHEN l_linenumber = 7 THEN 60 ELSE 1 END AS w"
 RESIZE = """
-SELECT *, CASE WHEN rh * rw > hi THEN floor(h / sqrt(h * w / hi) / 28.0) * 28 WHEN rh * rw < lo THEN ceil(h * sqrt(lo / (h * w)) / 28.0) * 28 ELSE rh END::BIGINT AS oh,
-  CASE WHEN rh * rw > hi THEN floor(w / sqrt(h * w / hi) / 28.0) * 28 WHEN rh * rw < lo THEN ceil(w * sqrt(lo / (h * w)) / 28.0) * 28 ELSE rw END::BIGINT AS ow
+SELECT *, CASE WHEN rh * rw > hi THEN greatest(28.0, floor(h / sqrt(h * w / hi) / 28.0) * 28) WHEN rh * rw < lo THEN ceil(h * sqrt(lo / (h * w)) / 28.0) * 28 ELSE rh END::BIGINT AS oh,
+  CASE WHEN rh * rw > hi THEN greatest(28.0, floor(w / sqrt(h * w / hi) / 28.0) * 28) WHEN rh * rw < lo THEN ceil(w * sqrt(lo / (h * w)) / 28.0) * 28 ELSE rw END::BIGINT AS ow
 FROM (SELECT *, greatest(28.0, round_even(h / 28.0, 0) * 28)::DOUBLE AS rh, greatest(28.0, round_even(w / 28.0, 0) * 28)::DOUBLE AS rw FROM {src})
 """
 
@@ -28,7 +29,9 @@ def _resize_sql(src: str, lo: int, hi: int) -> str:
 
 
 def _sides(t):
-    return t("lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_partkey") * 7 + F.col("l_linenumber") * 131) % 3000 + 1).alias("h"), ((F.col("l_suppkey") * 53 + F.col("l_orderkey") * 17) % 4000 + 1).alias("w"))
+    flat = F.col("l_linenumber") == 7
+    h, w = F.col("l_partkey") * 7 + F.col("l_linenumber") * 131, F.col("l_suppkey") * 53 + F.col("l_orderkey") * 17
+    return t("lineitem").select("l_orderkey", "l_linenumber", (h % F.when(flat, 40).otherwise(3000) + 1).alias("h"), ((w % 4000 + 1) * F.when(flat, 60).otherwise(1)).alias("w"))
 
 
 @query(f"WITH s AS (SELECT l_orderkey, l_linenumber, {SIDES} FROM lineitem), r AS ({_resize_sql('s', *M.IMAGE_PIXELS)}) SELECT l_orderkey, l_linenumber, oh AS height, ow AS width, (oh // 28) * (ow // 28) AS tokens FROM r")
@@ -37,14 +40,14 @@ def media_tokens_resize(t):
     return _sides(t).select("l_orderkey", "l_linenumber", h.alias("height"), w.alias("width"), E.media_tokens(F.col("h"), F.col("w")).alias("tokens"))
 
 
-PART_SQL = "SELECT p_partkey, p_partkey % 5000 + 1 AS total, CASE p_partkey % 5 WHEN 0 THEN 0.0 ELSE (p_partkey % 5) * 7.5 END::DOUBLE AS fps, p_partkey % 900 + 10 AS h, p_partkey % 1300 + 10 AS w FROM part"
+PART_SQL = "SELECT p_partkey, p_partkey % 5000 + 1 AS total, CASE p_partkey % 5 WHEN 0 THEN 0.0 ELSE (p_partkey % 5) * 7.5 END::DOUBLE AS fps, CASE p_partkey % 11 WHEN 0 THEN p_partkey % 15 ELSE p_partkey % 900 END + 10 AS h, (p_partkey % 1300 + 10) * CASE p_partkey % 11 WHEN 0 THEN 40 ELSE 1 END AS w FROM part"
 PLAN_SQL = f"""WITH v AS ({PART_SQL}),
 p AS (SELECT *, CASE WHEN fps > 0 THEN least(least(greatest(round_even(total / fps, 0), 4.0), 420.0)::BIGINT, total) END AS n_frames FROM v)"""
 
 
 def _videos(t):
     part = F.col("p_partkey")
-    return t("part").select("p_partkey", (part % 5000 + 1).alias("total"), F.when(part % 5 == 0, 0.0).otherwise((part % 5) * 7.5).alias("fps"), (part % 900 + 10).alias("h"), (part % 1300 + 10).alias("w"))
+    return t("part").select("p_partkey", (part % 5000 + 1).alias("total"), F.when(part % 5 == 0, 0.0).otherwise((part % 5) * 7.5).alias("fps"), (F.when(part % 11 == 0, part % 15).otherwise(part % 900) + 10).alias("h"), ((part % 1300 + 10) * F.when(part % 11 == 0, 40).otherwise(1)).alias("w"))
 
 
 @query(PLAN_SQL + f""", r AS ({_resize_sql('p', *M.VIDEO_PIXELS)})

@@ -13,7 +13,7 @@ RESULTS_SQL = r"""
 WITH results AS (
   SELECT l.doc_id AS id, l.doc_id AS rn, d.lang, d.source, l.quality, l.toxic,
     CASE WHEN l.toxic = 1 THEN 'Yes.' WHEN l.doc_id % 7 = 0 THEN 'maybe' ELSE 'No' END AS answer,
-    CASE l.doc_id % 5 WHEN 0 THEN 'Yes, it is' WHEN 1 THEN ' no.' WHEN 2 THEN substr(d.text, 1, 40) WHEN 3 THEN NULL ELSE upper(d.lang) || ' y' END AS model_answer,
+    CASE l.doc_id % 5 WHEN 0 THEN 'Yes, it is' WHEN 1 THEN ' no.' WHEN 2 THEN d.text WHEN 3 THEN NULL ELSE upper(d.lang) || ' y' END AS model_answer,
     CASE WHEN l.doc_id % 11 = 0 THEN NULL ELSE l.quality = 1 END AS is_correct
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
 """
@@ -27,7 +27,7 @@ def results(t):
         .select(
             F.col("doc_id").alias("id"), F.col("doc_id").alias("rn"), "lang", "source", "quality", "toxic",
             F.when(F.col("toxic") == 1, "Yes.").when(F.col("doc_id") % 7 == 0, "maybe").otherwise("No").alias("answer"),
-            F.when(F.col("doc_id") % 5 == 0, F.lit("Yes, it is")).when(F.col("doc_id") % 5 == 1, F.lit(" no.")).when(F.col("doc_id") % 5 == 2, F.substring("text", 1, 40)).when(F.col("doc_id") % 5 == 4, F.concat(F.upper("lang"), F.lit(" y"))).alias("model_answer"),
+            F.when(F.col("doc_id") % 5 == 0, F.lit("Yes, it is")).when(F.col("doc_id") % 5 == 1, F.lit(" no.")).when(F.col("doc_id") % 5 == 2, F.col("text")).when(F.col("doc_id") % 5 == 4, F.concat(F.upper("lang"), F.lit(" y"))).alias("model_answer"),
             F.when(F.col("doc_id") % 11 != 0, F.col("quality") == 1).alias("is_correct"),
         )
     )
@@ -198,11 +198,12 @@ def shard_batches(t):
     return R.shards(t("documents").select("doc_id"), "doc_id", 7, batch=10, keep_rest=False, ranges=8)
 
 
-@query("SELECT doc_id, 'a' AS part, n_chars FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'b', n_chars FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, doc_id % 3 AS part, n_chars FROM documents")
 def gather_union(t):
+    """What three processes wrote, gathered; each document was dealt to one of them."""
     docs = t("documents").select("doc_id", "n_chars")
-    one, two = docs.where("doc_id % 2 = 0").withColumn("part", F.lit("a")), docs.where("doc_id % 3 = 0").withColumn("part", F.lit("b"))
-    return one.unionByName(two)
+    parts = [docs.where(F.pmod("doc_id", F.lit(3)) == k).withColumn("part", F.lit(k).cast("long")) for k in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(r"SELECT 'docs/' || coalesce(nullif(lang, ''), 'none') AS folder, count(*)::BIGINT AS n FROM documents GROUP BY 1")

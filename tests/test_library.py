@@ -63,7 +63,7 @@ def resize(h, w, low, high, f=28):
     rh, rw = max(f, round(h / f) * f), max(f, round(w / f) * f)
     if rh * rw > high:
         b = math.sqrt(h * w / high)
-        return math.floor(h / b / f) * f, math.floor(w / b / f) * f
+        return max(f, math.floor(h / b / f) * f), max(f, math.floor(w / b / f) * f)
     if rh * rw < low:
         b = math.sqrt(low / (h * w))
         return math.ceil(h * b / f) * f, math.ceil(w * b / f) * f
@@ -77,6 +77,9 @@ def test_smart_resize_and_rounding(spark):
     h, w = M.smart_resize(F.col("h"), F.col("w"), M.IMAGE_PIXELS)
     for r in df.select("h", "w", h.alias("a"), w.alias("b")).collect():
         assert (r["a"], r["b"]) == resize(r["h"], r["w"], *M.IMAGE_PIXELS)
+    assert one(spark, F.struct(*M.smart_resize(F.lit(10), F.lit(200_000), M.IMAGE_PIXELS))) == (28, 179_200) and one(spark, E.media_tokens(F.lit(10), F.lit(200_000))) == 6400
+    for a, b, bounds in ((10, 200_000, M.IMAGE_PIXELS), (200_000, 10, M.IMAGE_PIXELS), (20, 15_000, M.VIDEO_PIXELS), (15_000, 20, M.VIDEO_PIXELS)):
+        assert tuple(one(spark, F.struct(*M.smart_resize(F.lit(a), F.lit(b), bounds)))) == resize(a, b, *bounds) and min(resize(a, b, *bounds)) == 28
     got = [r["x"] for r in column(spark, [14, 42, 70, 98, 126, 1, 28, 41, 43], "int").select(M.round_to(F.col("x")).alias("x")).collect()]
     assert got == [round(n / 28) * 28 for n in (14, 42, 70, 98, 126, 1, 28, 41, 43)]
 
@@ -413,3 +416,35 @@ def test_quantiles_and_ranks_by_ranges(spark):
     for g in ("a", "b", "c", None):
         own = [x for k, x in rows if k == g and x is not None and not math.isnan(x)]
         assert sorted((r["x"], r["rank"]) for r in ranked if r["g"] == g) == sorted((x, sum(y < x for y in own) + (sum(y == x for y in own) + 1) / 2) for x in own)
+
+
+@pytest.mark.parametrize("inside", [2_000_000, 20])
+def test_quantiles_by_brackets(spark, monkeypatch, inside):
+    """Narrow brackets, ties, infinities and single values against numpy; a group of one value holds most rows."""
+    import numpy as np
+
+    monkeypatch.setattr(ST, "INSIDE", inside)
+    rng = random.Random(9)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3000)] + [("b", float(rng.randint(0, 3))) for _ in range(500)] + [("c", 7.0)] + [(None, float(k)) for k in range(10)] + [("d", 1.0)] * 4000
+    rows += [("e", float("inf")), ("e", 1.0), ("e", float("-inf")), ("f", None), ("a", None), ("a", float("nan"))]
+    shares = {"zero": 0.0, "low": 0.25, "odd": 0.337, "high": 0.75, "one": 1.0}
+    got = {r["g"]: r for r in ST.quantiles(spark.createDataFrame(rows, "g string, x double").repartition(4), "x", shares, "g").collect()}
+    for g in ("a", "b", "c", None, "d"):
+        own = [v for k, v in rows if k == g and v is not None and not math.isnan(v)]
+        assert [got[g][k] for k in shares] == pytest.approx(np.quantile(own, list(shares.values())).tolist(), abs=1e-12)
+    assert got["e"]["zero"] == float("-inf") and got["e"]["one"] == float("inf") and "f" not in got
+    whole = [v for _, v in rows if v is not None and math.isfinite(v)]
+    assert ST.quantiles(spark.createDataFrame([(v,) for v in whole], "x double"), "x", {"m": 0.5}).first()["m"] == pytest.approx(np.median(whole), abs=1e-12)
+    assert ST.quantiles(spark.createDataFrame([], "x double, g int"), "x", {"m": 0.5}, "g").collect() == []
+
+
+def test_spearman_by_ranks(spark):
+    import pandas as pd
+
+    rng = random.Random(10)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(6)]), rng.choice([float(k) for k in range(40)])) for _ in range(600)] + [("c", 1, 2.0)] * 3
+    got = {r["g"]: r for r in ST.spearman(spark.createDataFrame(rows, "g string, x int, y double").repartition(4), "x", "y", "g").collect()}
+    for g in ("a", "b", None):
+        own = pd.DataFrame([(x, y) for k, x, y in rows if k == g and x is not None], columns=["x", "y"])
+        assert got[g]["n"] == len(own) and got[g]["r"] == pytest.approx(own["x"].rank().corr(own["y"].rank()), abs=1e-12)
+    assert got["c"]["n"] == 3 and got["c"]["r"] is None
