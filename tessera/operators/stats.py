@@ -88,7 +88,7 @@ def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> Data
     brackets = _bracket(whole.select(*by, "rows", "steps", F.lit(0).cast("long").alias("under"), wanted.alias("w")).select(*by, "w.*", "rows", "steps", "under"), *by)
     while (brackets.agg(F.max("rows")).first()[0] or 0) > INSIDE:
         narrow = _hits(rows, brackets, *by).groupBy(*by, "k").agg(F.count_if("below").alias("under"), F.count_if(~F.col("below")).alias("rows"), sketch(F.when(~F.col("below"), F.col("_x"))))
-        brackets = _bracket(brackets.alias("b").join(narrow.alias("n"), _same("b", "n", *by, "k")).select(*[f"b.{c}" for c in by], "b.k", "b.place", "n.rows", "n.steps", "n.under"), *by)
+        brackets = _bracket(brackets.alias("b").join(narrow.alias("n"), _same("b", "n", *by, "k")).select(*[f"b.{c}" for c in by], "b.k", "b.place", "n.rows", "n.steps", "n.under", F.col("b.lo").alias("was_lo"), F.col("b.hi").alias("was_hi")), *by)
     found = _counted(rows, brackets, *by)
     if not found.where("missed").isEmpty():
         everything = brackets.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})
@@ -100,9 +100,12 @@ def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> Data
 def _bracket(sketched: DataFrame, *by: str) -> DataFrame:
     """(by, k, place, lo, hi, rows): steps some way to both sides of a place, and about how many rows lie between."""
     step = (F.col("place") - F.col("under")) / F.greatest(F.lit(1), F.col("rows") - 1) * GRID
-    lo, hi = F.get("steps", F.floor(step).cast("int") - BRACKET // 2), F.get("steps", F.ceil(step).cast("int") + BRACKET // 2)
-    chosen = sketched.select(*by, "k", "place", F.coalesce(lo, F.lit(float("-inf"))).alias("lo"), F.coalesce(hi, F.lit(float("inf"))).alias("hi"), "rows")
-    return materialize(chosen.withColumn("rows", F.when(F.col("lo") < F.col("hi"), F.ceil(F.col("rows") * BRACKET / GRID)).otherwise(0)), "brackets")
+    at = lambda k: F.get("steps", F.greatest(F.lit(0), F.least(F.lit(GRID), k.cast("int"))))
+    chosen = sketched.withColumns({"lo": at(F.floor(step) - BRACKET // 2), "hi": at(F.ceil(step) + BRACKET // 2)})
+    narrower = F.col("lo") < F.col("hi")
+    if "was_lo" in sketched.columns:  # between values that most of the rows share, a bracket gets no narrower
+        narrower &= (F.col("lo") > F.col("was_lo")) | (F.col("hi") < F.col("was_hi"))
+    return materialize(chosen.select(*by, "k", "place", "lo", "hi", F.when(narrower, F.ceil(F.col("rows") * BRACKET / GRID)).otherwise(0).alias("rows")), "brackets")
 
 
 def _hits(rows: DataFrame, brackets: DataFrame, *by: str) -> DataFrame:
