@@ -70,7 +70,7 @@ def average_ranks(df: DataFrame, x: str, name: str, *by: str) -> DataFrame:
 
 #: A sketch has GRID steps of equal shares, each right to a tenth of a step. A bracket is BRACKET steps wide; one of more
 #: than INSIDE rows is narrowed by another sketch of what lies in it.
-GRID, BRACKET, INSIDE = 1_000, 6, 2_000_000
+GRID, BRACKET, INSIDE = 250, 6, 2_000_000
 
 
 def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> DataFrame:
