@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogue, items, scoring
+from . import dialogue, items, media, scoring
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dialogue", "items", "scoring"]
+__all__ = ["QUERIES", "SQL", "dialogue", "items", "media", "scoring"]
