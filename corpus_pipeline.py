@@ -15,12 +15,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import read, release, scratch_dir, written
+from tessera.llm.common import read
 from tessera.llm.jaccard import one_of_each
 from tessera.llm.lines import without_repeated_lines
 from tessera.llm.mixing import remix
 from tessera.llm.packing import pack
 from tessera.llm.toxicity import without_toxic
+from tessera.scratch import delete, own, owned, shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage and its operator have written goes as soon as the next stage stands; the last folder stays."""
     docs = read(spark, sf_dir, "documents")
-    folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = own(f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
-        before = written()
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        release(spark, before)  # the operator's own tables; what the stages return stays
+        with owned(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
     return docs
