@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, shared_folder  # noqa: F401  (for the modules of this folder)
+
 #: A word, as a pattern of Spark's and DuckDB's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of one Arrow batch; long texts make batches of the default 10,000 rows heavy.
@@ -23,43 +23,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where it is unset, a temporary one (local master) or the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        local = spark.sparkContext.master.startswith("local")
-        path = tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-#: Tables that materialize() wrote and release() has not deleted yet.
-_written: list[str] = []
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back, so that later passes and lost executors don't compute it again."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes the tables of materialize() but for the first ``since``; call it when the results that read them are written."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def written() -> int:
-    return len(_written)
-
-
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows and bytes of an Arrow batch where the session still has Spark's defaults."""
+    """Bounds the rows and bytes of an Arrow batch, for the session from now on, where it still has Spark's defaults."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) == 10000:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -35,7 +35,8 @@ IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?|#|id))?[ ]?[:#=]?[ ]?([0-9](?:[ -]?[0-9]){5,19})(?![0-9])", re.IGNORECASE)
 LOGIN = re.compile(r"://([^\s/@:]+:[^\s/@]+)@[A-Za-z0-9.-]+")
 KEY = re.compile(r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
-SECRET = re.compile(r"""["']?\s?[:=]\s?["']?([A-Za-z0-9+/_=-]{8,})["']?""")
+ASSIGNED = re.compile(r"""["']?\s?[:=]\s?["']?""")
+SECRET = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
 
 #: The cues of identifiers, as they are spelled.
 CUES = {
@@ -81,6 +82,7 @@ class Scanner:
         found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
         end = dict.fromkeys(KINDS, 0)
         run = 0  # end of the digit run in which an address was already tried
+        plain = 0  # end of a value without digits: what starts inside it has none either
         for last, (kind, width) in self.anchors.iter(text):
             at = last + 1 - width
             if kind == "digit":
@@ -108,6 +110,13 @@ class Scanner:
                     end["phone"] = m.end()
                     if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                         found["phone"].append(m.span())
+            elif kind == "secret":
+                if at >= end["secret"] and (m := ASSIGNED.match(text, at + width)) and m.end() >= plain and (m := SECRET.match(text, m.end())):
+                    if any(c.isdigit() for c in m[0]):
+                        end["secret"] = m.end()
+                        found["secret"].append(m.span())
+                    else:
+                        plain = m.end()
             elif at >= end[kind] and (span := self.cue(kind, text, at, at + width)):
                 end[kind] = span[1]
                 found[kind].append(span)
@@ -122,9 +131,6 @@ class Scanner:
         if kind == "login":
             m = LOGIN.match(text, at)
             return m.span(1) if m else None
-        if kind == "secret":
-            m = SECRET.match(text, after)
-            return m.span(1) if m and any(c.isdigit() for c in m[1]) else None
         if kind == "account":
             m = ACCOUNT.match(text, after)
             return m.span(1) if m and not (at and text[at - 1].isalnum()) else None
@@ -154,7 +160,8 @@ def find_private(docs: DataFrame) -> DataFrame:
     """A row for each row of docs; see COLUMNS and the head of this module.
 
     A null text is empty and has no spans. Null and repeated doc_ids are rows like others; other columns play no
-    part. An empty table gives an empty result. No shuffle; each anchor costs what its parser reads.
+    part. An empty table gives an empty result. No shuffle; each anchor costs what its parser reads, and no parser reads
+    again what another anchor of its kind has read without a match, so the cost follows the length of a text.
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, COLUMNS)

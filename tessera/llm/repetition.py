@@ -28,7 +28,7 @@ from .common import mix64, raw_texts, small_batches
 NGRAM_LIMITS = ((2, 0.70), (3, 0.65), (4, 0.60), (5, 0.25), (6, 0.24), (7, 0.23), (8, 0.22), (9, 0.21), (10, 0.20))
 #: Largest share of word characters in lines that repeat an earlier one, and of such lines.
 LINE_CHARS_LIMIT, LINES_LIMIT = 0.30, 0.40
-#: Symbols of junk, and the largest number of them for each word: a rule behind those of repetition.
+#: Symbols of junk, and how many of them for each word make a text heavy of symbols: reported, no part of the verdict.
 SYMBOLS = b"#*$%&|<>"
 SYMBOLS_LIMIT = 0.35
 LEAST_WORDS = 10
@@ -36,7 +36,7 @@ BASE_WINDOW, BASE_PERCENT = 5, 20
 #: Words that are measured together; a longer text is measured alone.
 GROUP_WORDS = 200_000
 
-COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_chars long, covered_share double, shares array<double>, reason string"
+COLUMNS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, dup_line_chars long, covered_share double, shares array<double>, reason string, symbol_heavy boolean"
 STRIP = b" \t\n\x0b\x0c\r"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,10 +123,10 @@ def measure(texts: list[bytes], limits: tuple[tuple[int, float], ...] = NGRAM_LI
         symbols = len(text) - len(text.translate(None, SYMBOLS))
         lines, again, again_chars = repeated_lines(text)
         rules = {f"ngram_{w}": s > limit for (w, limit), s in zip(limits, own, strict=True)}
-        rules = {"base": bool(failed[i])} | rules | {"line_chars": again_chars > LINE_CHARS_LIMIT * chars[i], "lines": again > LINES_LIMIT * lines, "symbols": symbols > SYMBOLS_LIMIT * n}
+        rules = {"base": bool(failed[i])} | rules | {"line_chars": again_chars > LINE_CHARS_LIMIT * chars[i], "lines": again > LINES_LIMIT * lines}
         reason = next((name for name, breaks in rules.items() if breaks), None)
         worst = max((s for (w, _), s in zip(limits, own, strict=True) if w >= BASE_WINDOW), default=0.0)
-        out.append((n, int(chars[i]), symbols, again, int(repeat_words[i]), bool(failed[i]), reason is None, again_chars, worst, own, reason))
+        out.append((n, int(chars[i]), symbols, again, int(repeat_words[i]), bool(failed[i]), reason is None, again_chars, worst, own, reason, symbols > SYMBOLS_LIMIT * n))
     return out
 
 
@@ -145,7 +145,7 @@ def groups(texts: list[bytes], most: int = GROUP_WORDS) -> Iterator[list[bytes]]
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string()]
+    types = [pa.int64()] * 5 + [pa.bool_(), pa.bool_(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.string(), pa.bool_()]
     for batch in batches:
         rows = [row for part in groups(raw_texts(batch.column(1))) for row in measure(part)]
         columns = list(zip(*rows, strict=True)) or [()] * len(types)

@@ -1,7 +1,7 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 The lexicon, the trees and the calibration are learned from labelled rows whose crc32(doc_id as text) mod 5 is not
-0, at most TRAIN_ROWS of them (the first by a hash of doc_id); that bound is the only sample here. Remainder 1 fits
+0, at most TRAIN_ROWS documents (the first by a hash of doc_id, one text for an id); that bound is the only sample here. Remainder 1 fits
 the calibration alone. Words, their first letters and the features are of whole texts; every row is scored.
 """
 
@@ -241,7 +241,10 @@ def fold(doc_id) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Learns from at most ``rows`` labelled rows outside fold 0. Without both labels, the score is their share."""
+    """Learns from at most ``rows`` labelled documents outside fold 0; of rows with one id the smallest text counts.
+
+    Without both labels nothing tells documents apart: every score is 0.
+    """
     small_batches(docs.sparkSession)
     chosen = (
         labels.where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id")) != 0)
@@ -249,11 +252,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         .orderBy(F.xxhash64("l_id"), "l_id").limit(rows)
     )
     # At most `rows` pairs of ids and labels: the bound that a broadcast needs.
-    own = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("text", (F.col("y") > 0).cast("long").alias("y"), fold(F.col("doc_id")).alias("fold")), "toxic-train")
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id"))
+    one = labelled.groupBy("l_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    own = materialize(one.select("text", (F.col("y") > 0).cast("long").alias("y"), fold(F.col("l_id")).alias("fold")), "toxic-train")
     sizes = {int(r["y"]): r["n"] for r in own.where("fold <> 1").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
     if not n_bad or not n_good:
-        return Model({}, None, None, n_bad / max(1, n_bad + n_good))
+        return Model({}, None, None, 0.0)
     least = 3 if n_bad < 200 else 5
     odds = F.log((F.col("bad") + 0.5) / (n_bad + 1.0)) - F.log((F.col("good") + 0.5) / (n_good + 1.0))
     words = (
