@@ -21,7 +21,7 @@ from tessera.llm.lines import without_repeated_lines
 from tessera.llm.mixing import remix
 from tessera.llm.packing import pack
 from tessera.llm.toxicity import without_toxic
-from tessera.scratch import delete, own, owned, shared_folder
+from tessera.scratch import own, owned, shared_folder
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,13 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. What a stage and its operator have written goes as soon as the next stage stands; the last folder stays."""
+    """The last stage's rows. Tables of the operators go once a stage stands; what stages return stays until the scope that called ends."""
     docs = read(spark, sf_dir, "documents")
     folder = own(f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     for k, (_, stage) in enumerate(STAGES):
         with owned(spark):
             stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            delete(spark, f"{folder}/{k - 1}")
     return docs
