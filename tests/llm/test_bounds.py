@@ -153,5 +153,9 @@ def test_pipeline_of_awkward_tables(spark, tmp_path):
     docs = [(k % 7 if k % 5 else None, [None, "", "a line of its own words " + str(k), "the very same line of words\nagain the same line"][k % 4], "en", ["s", None, "t"][k % 3], None, 0.5, 1, 2, "w") for k in range(60)]
     rows = pipeline_rows(spark, tmp_path / "odd", docs, [(1, 1, 0), (2, 1, 0), (3, 1, 0), (None, None, None)])
     assert rows and {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows[0].asDict())
-    left = [p for p in os.listdir(spark.conf.get("spark.checkpoint.dir")) if p.startswith("pipeline-")]
-    assert all(len(os.listdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), p))) == 1 for p in left), "only the last stage's folder stays"
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    with scratch.owned(spark):
+        assert corpus_pipeline.run(spark, str(tmp_path / "odd")).count() == len(rows)
+        assert len(set(os.listdir(shared)) - before) == 1, "the operators' tables are gone, the stages' are there"
+    assert set(os.listdir(shared)) == before
