@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,20 +47,29 @@ def _same(left: str, right: str, *by: str) -> Column:
     return on
 
 
+def numbered(df: DataFrame, order: Sequence[str], *by: str, weight: Column | None = None, name: str = "before") -> DataFrame:
+    """df with the weight (1 for each row unless given) of the rows of a group that stand before a row in an order.
+
+    Rows are dealt to ranges of (by, order) and written once; they are summed within a range and shifted by the ranges
+    below, so no task sorts a whole group. Rows of equal places must be equal, or the order among them is open. Writes
+    its table while the plan is built.
+    """
+    own = F.lit(1) if weight is None else weight
+    placed = materialize(df.withColumn("_weight", own.cast("long")).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = placed.groupBy(*by, "_range").agg(F.sum("_weight").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = placed.withColumn("_inside", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
+    return summed.alias("a").join(shift.alias("s"), _same("a", "s", *by, "_range")).select(*[f"a.`{c}`" for c in df.columns], (F.col("_inside") + F.col("_shift")).alias(name))
+
+
 def cumulative(df: DataFrame, x: str, *by: str, n: Column | None = None) -> DataFrame:
     """(by, x, n, before): the distinct values of each group, how many rows have them and how many have a lesser one.
 
-    Counts are made with partial results, dealt to ranges of (by, x) and written once; they are summed within a range
-    and shifted by the ranges below, so no task sorts a whole group. n: the rows that a row of df stands for. Writes its
-    table while the plan is built.
+    Counts are made with partial results and numbered() as above. n: the rows that a row of df stands for.
     """
     counts = df.groupBy(*by, x).agg(F.sum(F.lit(1) if n is None else n).alias("n"))
-    placed = materialize(counts.repartitionByRange(*by, x).withColumn("_range", F.spark_partition_id()), "counts")
-    below = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_n")).withColumn("_shift", F.coalesce(F.sum("_n").over(below), F.lit(0)))
-    within = Window.partitionBy(*by, "_range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumn("_inside", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    return summed.alias("a").join(shift.alias("s"), _same("a", "s", *by, "_range")).select(*[f"a.{c}" for c in by], f"a.{x}", "a.n", (F.col("_inside") + F.col("_shift")).alias("before"))
+    return numbered(counts, [x], *by, weight=F.col("n"))
 
 
 def average_ranks(df: DataFrame, x: str, name: str, *by: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import call_id
+from ..functions.openjson import entries, text_of
 from ..functions.text import strip
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
@@ -52,6 +53,38 @@ def catalogue(tools: DataFrame, name: str, description: str, params: str) -> Dat
     return tools.select(name, F.concat(F.col(name), F.lit(": "), F.col(description), lines).alias("text"))
 
 
+#: How a prompt introduces its tools, and how it explains calls.
+INTRODUCED = "You have access to the following tools:\n\n"
+EXPLAINED = (
+    "To call a tool, use this format: <tool_call>{'name': 'tool_name', 'arguments': {...}}</tool_call>\n"
+    "You will receive the tool result in this format: <tool_result id='call_id'>result</tool_result>\n\n"
+)
+
+
+def described(schema: Column) -> Column:
+    """The lines of a tool in a prompt, from its own JSON schema {"function": {name, description, parameters}}.
+
+    The properties of the parameters may have any names; they are listed in the order of the schema, those in the
+    list `required` as required and the others as optional. A text that is no such object gives null.
+    """
+    tool = F.try_parse_json(schema)
+    name, about = text_of(tool, "$.function.name"), text_of(tool, "$.function.description")
+    required = F.coalesce(F.try_variant_get(tool, "$.function.parameters.required", "array<string>"), F.array().cast("array<string>"))
+    listed = entries(F.get_json_object(schema, "$.function.parameters.properties"))
+    line = lambda e: F.concat(F.lit("    - "), e["key"], F.lit(": "), F.coalesce(text_of(e["value"], "$.description"), F.lit("")), F.when(F.array_contains(required, e["key"]), " (required)").otherwise(" (optional)"), F.lit("\n"))
+    params = F.when(listed.isNotNull(), F.concat(F.lit("  Parameters:\n"), F.array_join(F.transform(listed, line), "")))
+    return F.concat(F.lit("- "), name, F.lit(": "), F.coalesce(about, F.lit("")), F.lit("\n"), F.coalesce(params, F.lit("")), F.lit("\n"))
+
+
+def prompt_of(tools: DataFrame, schema: str, order: str, *by: str) -> DataFrame:
+    """(by, text): the tools of each prompt, in an order, between the introduction and the explanation of calls.
+
+    The tools of one prompt meet in one row, as they do in the prompt itself.
+    """
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), described(F.col(schema)).alias("text")))), lambda t: t["text"])
+    return tools.groupBy(*by).agg(F.concat(F.lit(INTRODUCED), F.array_join(lines, ""), F.lit(EXPLAINED)).alias("text"))
+
+
 def dispatch(calls: DataFrame, tools: DataFrame, name: str = "name", result: str = "result") -> DataFrame:
     """calls with the result of their tool, an error text where the tool is unknown; tools is a small table."""
     joined = calls.join(tools.select(F.col(name).alias("_tool"), F.col(result)), F.col(name) == F.col("_tool"), "left")

@@ -157,11 +157,14 @@ def corner_questions(t):
 
 
 @query(r"""
-WITH d AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('grid|' || vec_id::VARCHAR), vec_id) - 1 AS draw FROM embeddings),
-c AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY md5('gridc|' || draw::VARCHAR || '|' || label::VARCHAR), label) - 1 AS k FROM d),
-g AS (SELECT *, k // 4 AS g FROM c),
-p AS (SELECT *, row_number() OVER (PARTITION BY draw, g ORDER BY md5('gridp|' || vec_id::VARCHAR), vec_id) - 1 AS i, count(*) OVER (PARTITION BY draw, g) AS n FROM g)
-SELECT draw::VARCHAR || '-' || g::VARCHAR AS grid, (i // 2)::INT AS "row", (i % 2)::INT AS col, vec_id, label FROM p WHERE n = 4""")
+WITH u AS (SELECT label, count(*) AS u FROM embeddings GROUP BY 1),
+s AS (SELECT row_number() OVER (ORDER BY u DESC) AS j, sum(u) OVER () - sum(u) OVER (ORDER BY u DESC ROWS UNBOUNDED PRECEDING) + u AS rest FROM u),
+g AS (SELECT CASE WHEN count(*) < 4 THEN 0 ELSE min(rest // (5 - j)) END::BIGINT AS n FROM s WHERE j <= 4),
+o AS (SELECT label, least(u, n) AS u, sum(least(u, n)) OVER (ORDER BY label) - least(u, n) AS off FROM u, g),
+d AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('grid|' || vec_id::VARCHAR), vec_id) - 1 AS k FROM embeddings),
+p AS (SELECT (off + k) % n AS grid, vec_id, d.label FROM d JOIN o ON d.label = o.label, g WHERE k < u AND off + k < 4 * n),
+i AS (SELECT *, row_number() OVER (PARTITION BY grid ORDER BY md5('gridp|' || vec_id::VARCHAR), vec_id) - 1 AS i FROM p)
+SELECT grid::BIGINT AS grid, (i // 2)::INT AS "row", (i % 2)::INT AS col, vec_id, label FROM i""")
 def grid_compose(t):
     return SY.compose(t("embeddings"), "vec_id", "label")
 

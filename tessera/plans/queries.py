@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import dialogue, items, media, scoring
+from . import dialogue, exports, items, loops, media, scoring
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "dialogue", "items", "media", "scoring"]
+__all__ = ["QUERIES", "SQL", "dialogue", "exports", "items", "loops", "media", "scoring"]

@@ -73,3 +73,8 @@ def release(spark: SparkSession) -> None:
     paths = _outside.copy()
     _outside.clear()
     delete(spark, *paths)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import cue_text
 from ..operators import conversations as C
+from .tables import replace
 
 JUDGED = T.StructType([T.StructField("id", T.LongType()), T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("model_answer", T.StringType()), T.StructField("is_correct", T.BooleanType())])
 RESULT = T.StructType(JUDGED.fields[:4])
@@ -98,7 +100,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = JUDGED) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """The items of JSON arrays, a file each; an item that doesn't fit the schema is an error, as in a JSON Lines file."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def read_cues(spark: SparkSession, path: str, pattern: str = "*.vtt") -> DataFrame:
+    """(name, text): the spoken lines of each subtitle file below a path."""
+    files = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(F.substring_index(F.input_file_name(), "/", -1).alias("name"), cue_text(F.col("value")).alias("text"))
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -138,9 +147,11 @@ def write_csv(df: DataFrame, path: str, key: str) -> None:
 
 
 def save(df: DataFrame, path: str, exists_ok: bool = True, split: str | None = None) -> None:
-    """A table that replaces what is there; partitioned by split, so that one split is pruned to."""
-    writer = df.write.mode("overwrite" if exists_ok else "errorifexists")
-    (writer.partitionBy(split) if split else writer).parquet(path)
+    """A table that replaces what is there, once it stands in full; partitioned by split, so that one split is pruned to."""
+    if exists_ok:
+        replace(df, path, [split] if split else [])
+    else:
+        df.write.partitionBy(*([split] if split else [])).mode("errorifexists").parquet(path)
 
 
 def save_results(df: DataFrame, path: str) -> None:
