@@ -1,8 +1,10 @@
 """Document fingerprints (native): a Merkle tree over paragraphs and sections; DataFrame functions only.
 
-A leaf is a phrase of a paragraph (a line): it ends behind a blank that follows one of the characters ENDS, or after
-LEAF code points. A paragraph hashes its leaves, a section hashes its paragraphs, the root hashes its sections. A
-section ends behind each paragraph whose hash starts with one of four hex digits. So all boundaries follow content,
+A leaf is a run of words of a paragraph (a line). A word with the blanks behind it ends a leaf where a number made of
+its first two code points and its length has the remainder 0; inside a word of more than LONG code points, as in
+scripts without blanks, two neighbouring code points decide alike. A leaf of more than LEAF code points is cut at that
+length. A paragraph hashes its leaves, a section hashes its paragraphs, the root hashes its sections. A section ends
+behind each paragraph whose hash starts with one of four hex digits. So all boundaries follow content, in any script,
 and an edit moves those around it only. Roots test equality; branches that differ locate an edit (``diff``).
 
 A fingerprint is the root and a sketch: the SKETCH smallest distinct leaf hashes, which estimate the Jaccard
@@ -16,18 +18,32 @@ from pyspark.sql import functions as F
 
 from .common import partitions
 
-#: Most code points of a leaf, and the characters behind which a blank ends one.
-LEAF, ENDS = 96, ".,;:!?dy"
-PHRASE = f"[^\\n]{{0,{LEAF - 1}}}?[{ENDS}] |[^\\n]{{1,{LEAF}}}"
+#: Most code points of a leaf, and of a word that is not looked into; one in WORDS words and in PAIRS pairs of code
+#: points ends a leaf.
+LEAF, LONG, WORDS, PAIRS = 96, 24, 5, 17
+#: What marks an end, and stays with its leaf; in a text it is an end, too, and makes another leaf than the mark alone.
+END = "\\u0001"
 SKETCH = 128
 #: Range buckets of the neighbour search: at most so many, of about so many documents.
-BUCKETS, BUCKET_DOCS = 4096, 100_000
+BUCKETS, BUCKET_DOCS = 65_536, 100_000
 NO_ID = -(2**63)
 
 
+def _cut(paragraph: str) -> str:
+    """SQL of the leaves of a paragraph, in order, with the marks behind them."""
+    inside = f"array_join(zip_with(split(w, ''), concat(array(''), split(w, '')), (c, b) -> if((ascii(c) * 31 + ascii(b)) % {PAIRS} = 0, concat(c, '{END}'), coalesce(c, ''))), '')"
+    ends = f"(ascii(w) * 31 + ascii(substr(w, 2, 1)) * 7 + length(w)) % {WORDS} = 0"
+    words = f"transform(regexp_extract_all({paragraph}, '[^ ]+ *| +', 0), w -> if(length(w) > {LONG}, {inside}, if({ends}, concat(w, '{END}'), w)))"
+    return f"regexp_extract_all(array_join({words}, ''), '[^{END}]{{1,{LEAF}}}{END}*|{END}+', 0)"
+
+
+def _leaves(text: str) -> str:
+    return f"transform(split({text}, '\\n', -1), p -> transform({_cut('p')}, l -> md5(cast(l as binary))))"
+
+
 def leaves(text: str) -> Column:
     """Hashes of the leaves of each paragraph, of the column named text."""
-    return F.expr(f"transform(split({text}, '\\n', -1), p -> transform(regexp_extract_all(p, '{PHRASE}', 0), c -> md5(cast(c as binary))))")
+    return F.expr(_leaves(text))
 
 
 def paragraphs(tree: str) -> Column:
@@ -99,7 +115,7 @@ def diff(pairs: DataFrame, by: str, a: str, b: str) -> DataFrame:
     into; those at another place are moved sections. The paragraphs of the other sections are removed, added or moved.
     A null text is empty. Work is linear in the paragraphs but for sorting those of one text.
     """
-    tree = lambda text: paragraphs(f"transform(split({text}, '\\n', -1), p -> transform(regexp_extract_all(p, '{PHRASE}', 0), c -> md5(cast(c as binary))))")
+    tree = lambda text: paragraphs(_leaves(text))
     both = pairs.select(by, F.coalesce(a, F.lit("")).alias("a"), F.coalesce(b, F.lit("")).alias("b")).select(by, tree("a").alias("a"), tree("b").alias("b"))
     both = both.where(root(sections("a")) != root(sections("b")))
     sides = both.select(by, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("p")), F.struct(F.lit("b").alias("side"), F.col("b").alias("p")))).alias("t"))
@@ -168,7 +184,11 @@ def op2_merkle(spark, sf_dir: str) -> DataFrame:
 
 
 def _tree_sql(text: str) -> str:
-    tree = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{PHRASE}'), lambda c: md5(c)))"
+    at = lambda i: f"unicode(substr(w, {i}, 1))"
+    inside = f"array_to_string(list_transform(range(1, length(w) + 1), lambda i: substr(w, i, 1) || CASE WHEN ({at('i')} * 31 + CASE WHEN i > 1 THEN {at('i - 1')} ELSE 0 END) % {PAIRS} = 0 THEN chr(1) ELSE '' END), '')"
+    ends = f"({at(1)} * 31 + CASE WHEN length(w) > 1 THEN {at(2)} ELSE 0 END * 7 + length(w)) % {WORDS} = 0"
+    words = f"list_transform(regexp_extract_all(p, '[^ ]+ *| +'), lambda w: CASE WHEN length(w) > {LONG} THEN {inside} WHEN {ends} THEN w || chr(1) ELSE w END)"
+    tree = f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(array_to_string({words}, ''), '[^\\x01]{{1,{LEAF}}}\\x01*|\\x01+'), lambda c: md5(c)))"
     return f"""SELECT *, list_transform(tree, lambda l: md5(array_to_string(l, ''))) AS paras,
       list_sort(list_distinct(list_transform(flatten(tree), lambda x: substr(x, 1, 8))))[1:{SKETCH}] AS sketch
       FROM (SELECT *, {tree} AS tree FROM (SELECT *, {text} AS body FROM src))"""

@@ -210,6 +210,41 @@ def test_merkle_likeness_survives_a_shift(spark):
         assert r["n"] > 40 and r["exact"] > 0.9 and abs(r["near"] - r["exact"]) < 0.1
 
 
+def plain_leaves(paragraph):
+    """Leaves by the rule, word by word, in plain Python."""
+    marked = ""
+    for w in re.findall("[^ ]+ *| +", paragraph):
+        if len(w) > merkle.LONG:
+            marked += "".join(c + "\x01" * ((ord(c) * 31 + (ord(w[i - 1]) if i else 0)) % merkle.PAIRS == 0) for i, c in enumerate(w))
+        else:
+            marked += w + "\x01" * ((ord(w[0]) * 31 + (ord(w[1]) if len(w) > 1 else 0) * 7 + len(w)) % merkle.WORDS == 0)
+    return [hashlib.md5(x.encode()).hexdigest() for x in re.findall("[^\x01]{1,%d}\x01*|\x01+" % merkle.LEAF, marked)]
+
+
+def test_merkle_leaves_follow_content_in_any_script(spark):
+    """One word or code point put in anywhere keeps nine in ten leaves, whatever the script and with or without blanks."""
+    rng = random.Random(23)
+    some = lambda letters, lo, hi: "".join(rng.choice(letters) for _ in range(rng.randint(lo, hi)))
+    cyrillic, cjk = "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5200)))
+    made = {
+        "latin": " ".join(some("etaoinshrdlu", 1, 9) for _ in range(800)), "cyrillic": " ".join(some(cyrillic, 1, 11) for _ in range(800)), "cjk": some(cjk, 4000, 4000),
+        "code": "".join(rng.choice(["function", "(a,b)", "{return ", "a+b;}", "var ", "x=", "[1,2]", ";", "if(!", "c)", "d.e", some("abcxyz", 1, 4)]) for _ in range(1500)), "no blanks": some("abcdefghijklmnopqrstuvwxyz0123456789", 5000, 5000),
+        "hex": some("0123456789abcdef", 4000, 4000), "astral": some("".join(map(chr, range(0x1F300, 0x1F400))), 3000, 3000),
+    }
+    rows = []
+    for name, text in made.items():
+        for new in (some("xyz", 5, 5) + " ", rng.choice(text)):
+            for at in (0, rng.randrange(len(text)), len(text)):
+                rows.append((name, text, text[:at] + new + text[at:]))
+    rows += [("odd", "a\x01b  c", "a\x01\x01b  c"), ("odd", " lead and  two ", "\x01"), ("odd", "", "x" * 300)]
+    df = spark.createDataFrame(rows, "name string, a string, b string").withColumn("la", merkle.leaves("a")).withColumn("lb", merkle.leaves("b")).withColumn("exact", merkle.exact_likeness("la", "lb"))
+    for r in df.collect():
+        assert (r["la"], r["lb"]) == ([plain_leaves(r["a"])], [plain_leaves(r["b"])]), r["name"]
+        if r["name"] != "odd":
+            assert r["exact"] > 0.9 and len(r["la"][0]) > 40, (r["name"], r["exact"], len(r["la"][0]))
+    assert plain_leaves("ab cd") != plain_leaves("ab \x01cd") and plain_leaves("a\x01b") != plain_leaves("ab")
+
+
 def brute_importance(docs, labels, k):
     """Scores and the kept rows, by counting in plain Python: one n-gram at a time."""
     mask = 2**64 - 1
