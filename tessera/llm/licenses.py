@@ -3,6 +3,9 @@
 Sentences are normalised to their words (letters and digits, lower case; comment marks and line breaks fall away) and
 mapped to the identifiers of known licence sentences. The sequence of identifiers of a text is then matched against
 ordered rules: the first rule whose sentences stand in order, with few unknown sentences in between, takes them.
+
+Known sentences are the list below, notices made of a licence's names (NAMES) and of how notices begin, and the
+licences of an SPDX expression, each of which stands for a sentence. A notice behind a negation is none.
 """
 
 from __future__ import annotations
@@ -72,8 +75,55 @@ SENTENCES = (
     ("cc-by-nd.notice", "licensed under cc by nd 4.0"),
     ("cc-by-nc-sa.notice", "licensed under cc by nc sa 4.0"),
     ("cc-by-nc-nd.notice", "licensed under cc by nc nd 4.0"),
+    ("lgpl21.grant", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl21.grant", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl3.grant", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl3.grant", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl3.grant", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("epl2.grant", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at"),
+    ("epl2.grant", "this program and the accompanying materials are made available under the terms of the eclipse public license v2.0 which accompanies this distribution"),
+    ("epl1.grant", "this program and the accompanying materials are made available under the terms of the eclipse public license v1.0 which accompanies this distribution"),
+    ("bsl.grant", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("zlib.as-is", "this software is provided as is without any express or implied warranty"),
+    ("zlib.grant", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
 )
 
+#: Names by licence, as notices and SPDX expressions give them. An SPDX identifier is a name, too, and one
+#: that ends in -only or -or-later stands for the licence without that.
+NAMES = {
+    "AGPL-3.0": ("gnu affero general public license version 3", "gnu affero general public license v3", "gnu agpl version 3", "agpl v3", "agplv3", "agpl 3.0"),
+    "Apache-1.1": ("apache software license version 1.1", "apache license version 1.1", "apache 1.1"),
+    "Apache-2.0": ("apache license version 2.0", "apache license 2.0", "apache software license version 2.0", "apache 2.0 license", "apache 2.0", "apache 2 license", "apache license v2", "asl 2.0"),
+    "Artistic-2.0": ("artistic license 2.0", "artistic license version 2.0", "artistic 2.0"),
+    "BSD-2-Clause": ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license", "freebsd license", "bsd 2 clause"),
+    "BSD-3-Clause": ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license", "revised bsd license", "bsd 3 clause"),
+    "BSL-1.0": ("boost software license version 1.0", "boost software license 1.0", "boost software license", "bsl 1.0"),
+    "CC-BY-4.0": ("cc by 4.0", "creative commons attribution 4.0 international license", "creative commons attribution 4.0 license"),
+    "CC-BY-NC-4.0": ("cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license"),
+    "CC-BY-NC-ND-4.0": ("cc by nc nd 4.0", "creative commons attribution noncommercial noderivatives 4.0 international license"),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa 4.0", "creative commons attribution noncommercial sharealike 4.0 international license"),
+    "CC-BY-ND-4.0": ("cc by nd 4.0", "creative commons attribution noderivatives 4.0 international license"),
+    "CC-BY-SA-4.0": ("cc by sa 4.0", "creative commons attribution sharealike 4.0 international license"),
+    "CC0-1.0": ("cc0 1.0", "cc0 1.0 universal", "creative commons zero v1.0 universal", "creative commons cc0 license"),
+    "CDDL-1.0": ("common development and distribution license version 1.0", "common development and distribution license 1.0", "cddl 1.0"),
+    "EPL-1.0": ("eclipse public license version 1.0", "eclipse public license 1.0", "eclipse public license v1.0", "epl 1.0"),
+    "EPL-2.0": ("eclipse public license version 2.0", "eclipse public license 2.0", "eclipse public license v2.0", "epl 2.0"),
+    "GPL-2.0": ("gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "gnu gpl v2", "gpl version 2", "gpl v2", "gplv2", "gpl 2.0", "gnu general public license version 2.0"),
+    "GPL-3.0": ("gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "gnu gpl v3", "gpl version 3", "gpl v3", "gplv3", "gpl 3.0", "gnu general public license version 3.0"),
+    "ISC": ("isc license", "isc"),
+    "LGPL-2.1": ("gnu lesser general public license version 2.1", "gnu lesser general public license v2.1", "gnu lgpl version 2.1", "lgpl v2.1", "lgplv2.1", "lgpl 2.1"),
+    "LGPL-3.0": ("gnu lesser general public license version 3", "gnu lesser general public license v3", "gnu lgpl version 3", "lgpl v3", "lgplv3", "lgpl 3.0"),
+    "MIT": ("mit license", "mit licence", "expat license", "mit expat license", "mit"),
+    "MPL-1.1": ("mozilla public license version 1.1", "mozilla public license 1.1", "mpl 1.1"),
+    "MPL-2.0": ("mozilla public license version 2.0", "mozilla public license 2.0", "mozilla public license v2.0", "mpl 2.0", "mplv2"),
+    "Unlicense": ("unlicense", "unlicense license"),
+    "WTFPL": ("do what the fuck you want to public license", "wtfpl"),
+    "Zlib": ("zlib license", "zlib libpng license", "zlib"),
+}
+#: How a notice begins, and what may follow a name.
+BEGINS = [f"{verb} {under}{the}" for verb in ("licensed", "released", "distributed", "available", "published") for under in ("under ", "under the terms of ") for the in ("", "the ")]
+FOLLOWS = ("", " only", " or later", " or any later version", " or at your option any later version")
+
 #: Rules in order of preference; a longer one comes before those that it holds.
 RULES = (
     ("MIT", ("mit.grant", "mit.keep", "as-is", "no-liability")),
@@ -107,6 +157,15 @@ RULES = (
     ("CC-BY-ND-4.0", ("cc-by-nd.notice",)),
     ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa.notice",)),
     ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd.notice",)),
+    ("LGPL-2.1", ("lgpl21.grant",)),
+    ("LGPL-3.0", ("lgpl3.grant",)),
+    ("AGPL-3.0", ("agpl3.grant",)),
+    ("EPL-2.0", ("epl2.grant",)),
+    ("EPL-1.0", ("epl1.grant",)),
+    ("BSL-1.0", ("bsl.grant",)),
+    ("Zlib", ("zlib.as-is", "zlib.grant")),
+    ("Zlib", ("zlib.grant",)),
+    *((name, (f"{kind}.{name}",)) for name in NAMES for kind in ("named", "spdx")),
 )
 #: Words that a "*" may stand for, and unknown sentences that may stand between two of a rule.
 WILD, GAP = 8, 4
@@ -114,21 +173,45 @@ WILD, GAP = 8, 4
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.IGNORECASE)
 BREAK = re.compile(r"[\n.;:!?]+")
 #: First words of notices that may stand behind other words of their sentence ("This file is released under ...").
-NOTICES = ("released", "licensed", "spdx")
+NOTICES = ("released", "licensed", "distributed", "available", "published", "spdx")
 NOTICE = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(NOTICES)})(?![a-z0-9])", re.IGNORECASE)
 END = re.compile(r"[\s\"'”’)\]*/#-]*(?:[.;:!?,\n(\"]|\Z)|\s*\n")
+#: An SPDX tag, a word of its expression, and a negation that ends close before a notice of its sentence.
+TAG = re.compile(r"SPDX[- ]License[- ]Identifiers?[ \t]*[:=][ \t]*", re.IGNORECASE)
+TERM = re.compile(r"[ \t]*(?:\(+[ \t]*)?([A-Za-z0-9][A-Za-z0-9.+-]*)(?:[ \t]*\))*")
+NOT = re.compile(r"(?:\b(?:not|never|neither|nor|no longer|cannot)|n['’]t)\b[^\w.;:!?\n]+(?:\w+[^\w.;:!?\n]+){0,2}$", re.IGNORECASE)
+IDS = {name.lower(): name for name in NAMES}
 
 
 def tree() -> dict:
+    """All known sentences by their words; where a sentence is in the list and made of names, the list's identifier counts."""
     root: dict = {}
-    for name, sentence in SENTENCES:
+    made = ((f"named.{licence}", f"{begin}{name}{follow}") for licence, names in NAMES.items() for name in names for begin in BEGINS for follow in FOLLOWS)
+    for name, sentence in chain(SENTENCES, made):
         node = root
         for word in sentence.split():
             node = node.setdefault(word, {})
-        node[""] = name
+        node.setdefault("", name)
     return root
 
 
+def expression(text: str, at: int) -> list[tuple[str, int, int]]:
+    """(identifier, start, end) of each known licence in the SPDX expression of a tag at ``at``; exceptions are none.
+
+    The terms of an expression stand in one line, with AND, OR or WITH between them.
+    """
+    tag, out, joined = TAG.match(text, at), [], "OR"
+    term = TERM.match(text, tag.end()) if tag else None
+    while term:
+        plain = re.sub(r"(?:-only|-or-later|\+)$", "", term[1].rstrip(".").lower())
+        if joined != "WITH" and plain in IDS:
+            out.append((f"spdx.{IDS[plain]}", term.start(1) if out else at, term.end(1)))
+        operator = TERM.match(text, term.end())
+        joined = operator[1].upper() if operator else ""
+        term = TERM.match(text, operator.end()) if joined in ("AND", "OR", "WITH") else None
+    return out
+
+
 def recognise(text: str, at: int, root: dict) -> tuple[str, int, int] | None:
     """The longest known sentence that starts with the word at or behind ``at``: (identifier, start, end)."""
     best, states, start = None, [(root, 0)], None
@@ -152,9 +235,14 @@ def recognise(text: str, at: int, root: dict) -> tuple[str, int, int] | None:
     return best
 
 
-def notice(text: str, at: int, end: int, root: dict) -> tuple[str, int, int] | None:
-    """The first known sentence that starts with a word of NOTICE in text[at:end]."""
-    return next((known for m in NOTICE.finditer(text, at, end) if (known := recognise(text, m.start(), root))), None)
+def notices(text: str, at: int, end: int, root: dict) -> list[tuple[str, int, int]]:
+    """The first known sentence that starts with a word of NOTICE in text[at:end], or the licences of an SPDX tag there."""
+    for m in NOTICE.finditer(text, at, end):
+        if found := expression(text, m.start()):
+            return found
+        if not NOT.search(text, max(at, m.start() - 60), m.start()) and (known := recognise(text, m.start(), root)):
+            return [known]
+    return []
 
 
 def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
@@ -167,6 +255,13 @@ def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
     found, upto, number, fresh = [], 0, 0, True
     starts, at, mark, lower = set(root), 0, "\n", text.lower()
     inside = any(w in lower for w in NOTICES)
+
+    def begun(first: re.Match) -> list[tuple[str, int, int]]:
+        if first[0].lower() not in starts or first[0].lower() == "spdx" and TAG.match(text, first.start()):
+            return []
+        known = recognise(text, first.start(), root)
+        return [known] if known else []
+
     for m in chain(BREAK.finditer(text), (None,)):
         end = m.start() if m else len(text)
         if at >= upto:
@@ -174,10 +269,10 @@ def sentences(text: str, root: dict) -> list[tuple[str, int, int, int]]:
             after = text[at : at + 1]
             if not first:
                 fresh = fresh or "\n" in mark
-            elif (first[0].lower() in starts and (known := recognise(text, first.start(), root))) or (inside and (known := notice(text, at, end, root))):
+            elif known := begun(first) or (notices(text, at, end, root) if inside else []):
                 number += 1
-                found.append((*known, number))
-                upto, fresh = known[2], True
+                found += [(*k, number) for k in known]
+                upto, fresh = known[-1][2], True
             else:
                 closed = mark.count("\n") > 1 or mark.strip("\n") and ("\n" in mark or not (after.isalnum() or after == "/"))
                 number += bool(fresh or closed)

@@ -360,6 +360,41 @@ def test_licenses_gap():
         assert [r[0] for r in licenses.apply_rules(licenses.sentences(text, root))] == want
 
 
+@pytest.mark.parametrize("text,want", [
+    ("SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("# SPDX-License-Identifier: LGPL-2.1-or-later\n", "LGPL-2.1"), ("// SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"), ("/* SPDX-License-Identifier: ISC */", "ISC"),
+    ("SPDX-License-Identifier: CC0-1.0\ncode", "CC0-1.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), ("SPDX-License-Identifier: GPL-2.0+", "GPL-2.0"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\n", "Apache-2.0,BSD-3-Clause,MIT"), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"), ("SPDX-License-Identifier: GPL-3.0 WITH MIT", "GPL-3.0"), ("SPDX-License-Identifier: Unknown-1.0 OR MIT", "MIT"),
+    ("SPDX-License-Identifier: Unknown-1.0", ""), ("SPDX-License-Identifier: MIT is what we chose", "MIT"), ("SPDX-License-Identifier:", ""), ("x = 1 // SPDX-License-Identifier: Zlib", "Zlib"),
+    ("Licensed under the GNU Lesser General Public License version 3", "LGPL-3.0"), ("Released under the GNU General Public License version 2.", "GPL-2.0"), ("Licensed under the BSD 3-Clause License", "BSD-3-Clause"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("This code is available under the terms of the GNU GPL v3 or later.", "GPL-3.0"), ("Released under the 3-clause BSD license.", "BSD-3-Clause"), ("Licensed under the Eclipse Public License 2.0.", "EPL-2.0"), ("Published under the zlib/libpng license.", "Zlib"), ("Licensed under MIT.", "MIT"),
+    ("This work is not licensed under the MIT license.", ""), ("It isn't released under the MIT license.", ""), ("It was never, ever released under the MIT License.", ""), ("Not ours. Released under the MIT License.", "MIT"), ("This file, which is not mine to change, is released under the MIT License.", "MIT"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n", "AGPL-3.0"),
+    ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n", "Zlib"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/\n", "EPL-2.0"),
+])
+def test_licenses_named(text, want):
+    found = licenses.sentences(text, licenses.tree())
+    assert ",".join(sorted({r[0] for r in licenses.apply_rules(found)})) == want, found
+
+
+@pytest.mark.parametrize("licence", sorted(licenses.NAMES))
+def test_each_licence_by_tag_and_by_its_names(licence):
+    root = licenses.tree()
+    own = lambda text: [r[0] for r in licenses.apply_rules(licenses.sentences(text, root))]
+    for end in ("", "-only", "-or-later"):
+        assert own(f"-- SPDX-License-Identifier: {licence}{end} --") == [licence]
+    for name in licenses.NAMES[licence]:
+        for text in (f"It is released under the {name.upper()}.", f"Licensed under the terms of {name}\n", f"words (distributed under {name}, or any later version)"):
+            assert own(text) == [licence], text
+
+
+def test_spans_of_an_expression():
+    text = "# SPDX-License-Identifier: MIT OR Apache-2.0\n"
+    rules = licenses.apply_rules(licenses.sentences(text, licenses.tree()))
+    assert [(r[0], text[r[1] : r[2]]) for r in rules] == [("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "Apache-2.0")]
+
+
 def brute_rules(found):
     """Rules in order, each from the left over what is left, by plain search."""
     left, out = list(found), []
