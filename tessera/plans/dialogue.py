@@ -114,6 +114,30 @@ def media_features(t):
     return K.features(_with_media(t), media=media).select("conv_id", F.size("input_ids").cast("long").alias("total"), text("input_ids").alias("ids"), text("labels").alias("labels"))
 
 
+@query(rf"""
+WITH c AS (SELECT k // 4 = 1 AS template, k // 2 % 2 = 1 AS ask, k % 2 = 1 AS text_only FROM range(8) r(k)),
+p AS (SELECT c.*, conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 END AS pad, CASE WHEN text_only THEN 1 ELSE turn % 5 + 2 END AS n, CASE WHEN template THEN regexp_extract_all('<|im_start|>' || role || chr(10), {PIECES}) ELSE [] END AS head, regexp_extract_all(text, {PIECES}) AS said, CASE WHEN template THEN regexp_extract_all('<|im_end|>' || chr(10), {PIECES}) ELSE [] END AS tail FROM conversations, c),
+i AS (SELECT *, list_transform(head, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS h, list_transform(said, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS s, list_transform(tail, lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS e,
+  CASE WHEN pad IS NULL THEN []::INT[] ELSE list_concat([3], list_transform(range(n), lambda x: pad), [4]) END::INT[] AS v FROM p),
+l AS (SELECT template, ask, text_only, conv_id, turn, list_concat(h, v, s, e) AS ids, list_concat(list_transform(list_concat(h, v), lambda x: -100), CASE WHEN role = 'assistant' THEN s ELSE list_transform(s, lambda x: -100) END, list_transform(e, lambda x: -100)) AS labels FROM i),
+q AS (SELECT list_transform(regexp_extract_all('<|im_start|>assistant' || chr(10), {PIECES}), lambda w: (('0x' || substr(md5(w), 1, 8))::BIGINT % 49990 + 10)::INT) AS q),
+f AS (SELECT template, ask, text_only, conv_id, flatten(list(ids ORDER BY turn)) AS input_ids, flatten(list(labels ORDER BY turn)) AS labels FROM l GROUP BY ALL),
+g AS (SELECT f.* REPLACE (CASE WHEN template AND ask THEN list_concat(input_ids, q) ELSE input_ids END AS input_ids, CASE WHEN template AND ask THEN list_concat(labels, q) ELSE labels END AS labels) FROM f, q)
+SELECT template, ask, text_only, conv_id, len(input_ids)::BIGINT AS total, md5(array_to_string(input_ids, ',')) AS ids, md5(array_to_string(labels, ',')) AS labels FROM g""")
+def feature_sweep(t):
+    """Token ids and labels of conversations with media under each of the eight settings of chat template, generation prompt and short media."""
+    none = F.expr("cast(array() as array<struct<kind:string,tokens:int>>)")
+    media = F.when(F.col("kind").isNotNull(), F.array(F.struct("kind", F.col("tokens").cast("int").alias("tokens")))).otherwise(none)
+    text = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ",").cast("binary"))
+    rows, out = _with_media(t), None
+    for k in range(8):
+        template, ask, text_only = k // 4 == 1, k // 2 % 2 == 1, k % 2 == 1
+        part = K.features(rows, template=template, generation_prompt=ask, media=media, text_only=text_only)
+        part = part.select(F.lit(template).alias("template"), F.lit(ask).alias("ask"), F.lit(text_only).alias("text_only"), "conv_id", F.size("input_ids").cast("long").alias("total"), text("input_ids").alias("ids"), text("labels").alias("labels"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _batched(t, side, target=None):
     df = K.features(t("conversations")).withColumn("batch_id", F.floor(F.col("conv_id") / 4))
     out = K.batch(df, "batch_id", side, target=target)

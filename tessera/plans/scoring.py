@@ -319,4 +319,4 @@ def model_outputs(t):
 
 @query("SELECT r_name AS model, n_name AS dataset FROM region, nation")
 def run_matrix(t):
-    return t("region").select(F.col("r_name").alias("model")).crossJoin(F.broadcast(t("nation").select(F.col("n_name").alias("dataset"))))
+    return t("region").select(F.col("r_name").alias("model")).crossJoin(t("nation").select(F.col("n_name").alias("dataset")))
