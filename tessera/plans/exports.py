@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import packtable as PT
 from ..scratch import own, shared_folder
 from ..sources import batches as B
+from ..sources.tables import progress, run_steps
 from ..streaming.store import ResultStore
 from .items import COUNT_SQL
 from .registry import query
@@ -58,3 +59,22 @@ def kept_results_score(t):
     store.apply(rows.where(F.pmod("id", F.lit(3)) == 0), 0)
     store.apply(rows.where(F.pmod("id", F.lit(4)) == 1).withColumn("model_answer", F.lit("yes")), 3)
     return store.score(filter_name="yes_no").select("total", "correct", "incorrect", "invalid")
+
+
+@query(f"""WITH n AS (SELECT doc_id, lang, {COUNT_SQL}::BIGINT AS n FROM documents), k AS (SELECT * FROM n WHERE n BETWEEN 1 AND 2000)
+SELECT lang, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens, 3::BIGINT AS finished FROM k GROUP BY 1""")
+def resumed_steps(t):
+    """Steps whose tables are kept: the second run finds each under its fingerprint and makes none of them again."""
+    docs = t("documents").select("doc_id", "lang", "text")
+    spark = docs.sparkSession
+    steps = [
+        ("counted", lambda df: df.select("doc_id", "lang", T.token_count(F.col("text")).alias("n"))),
+        ("kept", lambda df: df.where("n BETWEEN 1 AND 2000")),
+        ("summed", lambda df: df.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))),
+    ]
+    folder = own(f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}")
+    run_steps(docs, steps, folder)
+    before = progress(spark, folder, [name for name, _ in steps]).collect()
+    out = run_steps(docs, steps, folder)
+    same = sum(a == b for a, b in zip(before, progress(spark, folder, [name for name, _ in steps]).collect(), strict=True))
+    return out.withColumn("finished", F.lit(same).cast("long"))

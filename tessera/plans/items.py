@@ -216,6 +216,13 @@ def spearman(t):
     return ST.spearman(t("lineitem").select("l_linestatus", "l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice", "l_linestatus").withColumn("r", F.round("r", 6))
 
 
+@query()
+def spearman_pvalue_mask(t):
+    """Rank correlations of many groups with their p-values; those above the level are left out."""
+    rows = t("lineitem").select("l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax")
+    return ST.significant(ST.spearman(rows, "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_linenumber"))
+
+
 @query()
 def pearson_pvalue_mask(t):
     return ST.significant(ST.pearson(t("lineitem"), "l_discount", "l_tax", "l_returnflag", "l_linestatus"))

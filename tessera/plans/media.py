@@ -144,6 +144,17 @@ def dataset_chain(t):
 
 
 
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN (p_partkey % 300 + 10)::INT END AS height, CASE WHEN p_partkey % 4 < 2 THEN (p_partkey % 500 + 10)::INT END AS width,
+  CASE p_partkey % 4 WHEN 2 THEN 'truncated' WHEN 3 THEN 'unreadable' END AS error FROM part""")
+def image_uri_check(t):
+    """Images that come as data URIs: whole, cut, or a path instead."""
+    key = F.col("p_partkey")
+    made = png(key % 300 + 10, key % 500 + 10)
+    coded = F.concat(F.lit("data:image/png;base64,"), F.base64(F.when(key % 4 == 2, _cut(made, 7)).otherwise(made[0])))
+    uri = F.when(key % 4 == 3, F.concat(F.lit("media/"), key, F.lit(".png"))).otherwise(coded)
+    return t("part").select("p_partkey", probe(T.data_uri_bytes(uri)).alias("p")).select("p_partkey", "p.height", "p.width", "p.error")
+
+
 @query("SELECT conv_id, string_agg(role || ' speaks', ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1")
 def subtitle_text(t):
     """The spoken lines of subtitle files, one for each conversation."""

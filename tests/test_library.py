@@ -448,3 +448,22 @@ def test_spearman_by_ranks(spark):
         own = pd.DataFrame([(x, y) for k, x, y in rows if k == g and x is not None], columns=["x", "y"])
         assert got[g]["n"] == len(own) and got[g]["r"] == pytest.approx(own["x"].rank().corr(own["y"].rank()), abs=1e-12)
     assert got["c"]["n"] == 3 and got["c"]["r"] is None
+
+
+def test_rank_correlations_with_p_values(spark, sf_dir):
+    import pandas as pd
+
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").toPandas()
+    got = QUERIES["spearman_pvalue_mask"](spark, sf_dir).collect()
+    keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    groups = {k: g for k, g in rows.groupby(keys)}
+    assert len(got) == len(groups) > 20
+    for r in got:
+        own = groups[tuple(r[k] for k in keys)]
+        want = own["l_discount"].rank().corr(own["l_tax"].rank())
+        assert r["n"] == len(own) and (r["r"] is None if pd.isna(want) else r["r"] == pytest.approx(want, abs=1e-9))
+        if r["r"] is not None:
+            p = ST.correlation_p(len(own), r["r"])
+            assert r["p"] == pytest.approx(p) and (r["r_significant"] is None) == (p > 0.05)
+    # 5 and 10 pairs: known values of Student's t
+    assert ST.correlation_p(10, 0.6319) == pytest.approx(0.05, abs=2e-4) and ST.correlation_p(5, 0.8783) == pytest.approx(0.05, abs=2e-4)
