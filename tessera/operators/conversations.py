@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import insert_clamped
 from ..functions.jsonx import pick
+from ..functions.openjson import entries, text_of
 from ..functions.text import with_dir
 
 log = logging.getLogger(__name__)
@@ -98,18 +99,23 @@ def view_question(question: Column, answer: Column, view_template: str, template
 
 
 def choice_text(question: Column, options: Column) -> Column:
-    """options: ARRAY<STRUCT<key, text>>, in order."""
-    return F.concat(F.lit("Question: "), question, F.array_join(F.transform(options, lambda o: F.concat(F.lit("\nOption "), o["key"], F.lit(": "), o["text"])), ""))
+    """A line for the question and for each option. options: ARRAY<STRUCT<key, text>>, in order."""
+    return F.concat(F.lit("Question: "), question, F.array_join(F.transform(options, lambda o: F.concat(F.lit("\nOption "), o["key"], F.lit(": "), o["text"])), ""), F.lit("\n"))
+
+
+def open_options(options: Column) -> Column:
+    """Options for choice_text() from a JSON object with any keys, in the order of its text; null if it is none."""
+    return F.transform(entries(options), lambda e: F.struct(e["key"].alias("key"), F.coalesce(text_of(e["value"], "$"), F.lit("None")).alias("text")))
 
 
 def choice_maker(question: Column, options: Column, answer: Column | None = None) -> Column:
     return F.array(says("user", choice_text(question, options)), *([says("assistant", answer)] if answer is not None else []))
 
 
-def typed_maker(kind: Column, qa: Column, video: Column, caption: Column, training: bool = True) -> Column:
-    """By the item's type: qa_pairs or caption; another type is an error."""
-    unknown = F.raise_error(F.concat(F.lit("unknown item type: "), F.coalesce(kind, F.lit("null")))).cast(MESSAGE)
-    return F.when(kind == "qa_pairs", vqa_maker(qa, F.lit(None).cast("string"), video, training)).when(kind == "caption", caption_maker(video, caption, "video")).otherwise(unknown)
+def typed_maker(kind: Column, qa: Column, video: Column, caption: Column, training: bool = True, strict: bool = False) -> Column:
+    """By the item's type: qa_pairs or caption; another type gives none, or an error if ``strict``."""
+    other = F.raise_error(F.concat(F.lit("unknown item type: "), F.coalesce(kind, F.lit("null")))).cast(MESSAGE) if strict else none()
+    return F.when(kind == "qa_pairs", vqa_maker(qa, F.lit(None).cast("string"), video, training)).when(kind == "caption", caption_maker(video, caption, "video")).otherwise(other)
 
 
 # Content --------------------------------------------------------------------------------------------------------

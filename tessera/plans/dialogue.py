@@ -240,17 +240,26 @@ def conditional_question(t):
     return t("labels").select("doc_id", C.view_question(F.concat(F.lit("q"), "doc_id"), answer, "View? {question}", "Answer: {question}").alias("question"))
 
 
-@query(r"""SELECT p_partkey, 'Question: ' || p_name || chr(10) || 'Option A: ' || p_brand || chr(10) || 'Option B: ' || p_type AS text FROM part""")
+@query(r"""SELECT p_partkey, 'Question: ' || p_name || chr(10) || 'Option A: ' || p_brand || chr(10) || 'Option B: ' || p_type || chr(10) AS text FROM part""")
 def multiple_choice_prompt(t):
     option = lambda k, c: F.struct(F.lit(k).alias("key"), F.col(c).alias("text"))
     m = t("part").select("p_partkey", C.choice_maker(F.col("p_name"), F.array(option("A", "p_brand"), option("B", "p_type"))).alias("m"))
     return m.select("p_partkey", C.contents(F.col("m"), "text")[0].alias("text"))
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, text, CASE WHEN conv_id % 2 = 0 THEN 'qa_pairs' ELSE 'caption' END AS kind FROM conversations)
-SELECT conv_id, turn, CASE WHEN kind = 'qa_pairs' THEN 'user,user,assistant' ELSE 'user,assistant' END AS roles, CASE WHEN kind = 'qa_pairs' THEN 'Q?|' || text ELSE text END AS texts, '' AS images, 'v' || conv_id AS videos FROM a""")
+@query(r"""SELECT p_partkey, 'Question: ' || p_name || chr(10) || 'Option ' || p_brand || ': ' || p_size || chr(10) || 'Option z: ' || p_type || chr(10) || 'Option ' || (p_partkey % 5) || ': last' || chr(10) AS text FROM part""")
+def choice_open_keys(t):
+    """Multiple choice from JSON objects whose keys differ from item to item."""
+    options = F.concat(F.lit('{"'), "p_brand", F.lit('": '), "p_size", F.lit(', "z": "'), "p_type", F.lit('", "'), F.col("p_partkey") % 5, F.lit('": "last"}'))
+    return t("part").select("p_partkey", C.choice_text(F.col("p_name"), C.open_options(options)).alias("text"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, text, CASE conv_id % 5 WHEN 0 THEN 'qa_pairs' WHEN 1 THEN 'other' WHEN 2 THEN 'qa_pairs' ELSE 'caption' END AS kind FROM conversations)
+SELECT conv_id, turn, CASE kind WHEN 'qa_pairs' THEN 'user,user,assistant' WHEN 'caption' THEN 'user,assistant' END AS roles, CASE kind WHEN 'qa_pairs' THEN 'Q?|' || text WHEN 'caption' THEN text END AS texts, CASE WHEN kind <> 'other' THEN '' END AS images, CASE WHEN kind <> 'other' THEN 'v' || conv_id END AS videos FROM a""")
 def typed_dispatch(t):
-    kind = F.when(F.col("conv_id") % 2 == 0, "qa_pairs").otherwise("caption")
+    """Items by their type; one of another type gives no conversation."""
+    rest = F.col("conv_id") % 5
+    kind = F.when(rest == 0, "qa_pairs").when(rest == 1, "other").when(rest == 2, "qa_pairs").otherwise("caption")
     qa = F.array(F.struct(F.lit("Q?").alias("question"), F.col("text").alias("answer")))
     m = t("conversations").select("conv_id", "turn", C.typed_maker(kind, qa, F.concat(F.lit("v"), "conv_id"), F.col("text")).alias("m"))
     return m.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.array_join(C.contents(F.col("m"), "text"), "|").alias("texts"), F.array_join(C.contents(F.col("m"), "image"), ",").alias("images"), F.array_join(C.contents(F.col("m"), "video"), ",").alias("videos"))

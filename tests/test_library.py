@@ -300,7 +300,10 @@ def test_conversations(spark):
     with pytest.raises(Exception, match="not both"):
         one(spark, C.vqa_maker(qa, F.lit("i"), F.lit("v")))
     with pytest.raises(Exception, match="unknown item type"):
-        one(spark, C.typed_maker(F.lit("z"), qa, no, no))
+        one(spark, C.typed_maker(F.lit("z"), qa, no, no, strict=True))
+    assert one(spark, C.typed_maker(F.lit("z"), qa, no, no)) is None and one(spark, C.typed_maker(no, qa, no, no)) is None
+    options = C.open_options(F.lit('{"B": "two", "A": 1, "x y": null, "C": "th \\"ree"}'))
+    assert one(spark, C.choice_text(F.lit("q"), options)) == 'Question: q\nOption B: two\nOption A: 1\nOption x y: None\nOption C: th "ree\n'
     assert one(spark, C.text_maker(F.lit("t")))[0]["role"] == "assistant"
     chat = F.array(C.says("system", F.lit("s")), C.message("user", C.part("image", F.lit("u")), C.part("text", F.lit("t"))))
     assert one(spark, C.contents(chat, "text")) == ["s", "t"] and [p["uri"] for p in one(spark, C.media_of(chat))] == ["u"]
