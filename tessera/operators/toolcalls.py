@@ -11,6 +11,8 @@ from ..functions.text import strip
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 RESULT = r"(?s)<tool_result.*?>(.*?)</tool_result>"
+#: What a JSON text escapes in a name, and with what.
+QUOTED, ESCAPED = r"([\"\\])", r"\\$1"
 
 
 def raw_call(text: Column) -> Column:
@@ -32,8 +34,14 @@ def parse(text: Column) -> Column:
     return F.when(valid, F.struct(F.get_json_object(raw, "$.name").alias("name"), arguments.alias("arguments"), call_id(raw).alias("id"), raw.alias("raw")))
 
 
+def call_text(name: Column, arguments: Column) -> Column:
+    """The JSON text of a call; arguments are JSON already."""
+    quoted = F.regexp_replace(name, QUOTED, ESCAPED)
+    return F.concat(F.lit('{"name": "'), quoted, F.lit('", "arguments": '), arguments, F.lit("}"))
+
+
 def format_call(name: Column, arguments: Column) -> Column:
-    return F.concat(F.lit('<tool_call>{"name":"'), name, F.lit('","arguments":'), arguments, F.lit("}</tool_call>"))
+    return F.concat(F.lit("<tool_call>"), call_text(name, arguments), F.lit("</tool_call>"))
 
 
 def format_result(result: Column, call: Column | None = None) -> Column:
@@ -88,12 +96,12 @@ def prompt_of(tools: DataFrame, schema: str, order: str, *by: str) -> DataFrame:
 def dispatch(calls: DataFrame, tools: DataFrame, name: str = "name", result: str = "result") -> DataFrame:
     """calls with the result of their tool, an error text where the tool is unknown; tools is a small table."""
     joined = calls.join(tools.select(F.col(name).alias("_tool"), F.col(result)), F.col(name) == F.col("_tool"), "left")
-    return joined.withColumn(result, F.coalesce(F.col(result), F.concat(F.lit("Error: unknown tool "), F.col(name)))).drop("_tool")
+    return joined.withColumn(result, F.coalesce(F.col(result), F.concat(F.lit("Error: Tool '"), F.col(name), F.lit("' not found")))).drop("_tool")
 
 
 def context(original: Column, steps: Column) -> Column:
-    """The text with each call and its result behind it; steps: ARRAY<STRUCT<call, result>>."""
-    return F.array_join(F.concat(F.array(original), F.flatten(F.transform(steps, lambda s: F.array(s["call"], format_result(s["result"]))))), "\n")
+    """The text with each call and its result behind it; steps: ARRAY<STRUCT<name, arguments, id, result>>."""
+    return F.concat(original, F.array_join(F.transform(steps, lambda s: F.concat(format_call(s["name"], s["arguments"]), format_result(s["result"], s["id"]))), ""))
 
 
 def extend_mask(mask: Column, added: Column) -> Column:

@@ -69,7 +69,7 @@ def converse(items: DataFrame, key: str, text: str, generate: Step, execute: Ste
         if last or going.isEmpty():
             break
         called = execute(going.select("_key", "text", "output", "call.name", "call.arguments", F.col("call.id").alias("_call")))
-        step = F.concat_ws("\n", F.col("text"), F.col("output"), TC.format_result(F.col("result"), F.col("_call")))
+        step = F.concat("text", "output", TC.format_result(F.col("result"), F.col("_call")))
         frontier = called.select("_key", step.alias("text"))
     out = over[0]
     for part in over[1:]:

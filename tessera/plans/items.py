@@ -264,7 +264,8 @@ def tool_parse(t):
     return _calls(t).select("conv_id", "turn", TC.parse(F.col("s")).alias("c")).select("conv_id", "turn", "c.name", "c.arguments")
 
 
-@query()
+@query(CALLS_SQL + """, r AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN '{"name":"find","arguments":{"q":"' || conv_id || '"}}' WHEN conv_id % 4 = 3 AND turn % 2 = 0 THEN '{"name":"list"}' END AS raw FROM c)
+SELECT conv_id, turn, 'call_' || (('0x' || substr(md5(raw), 1, 8))::BIGINT % 10000) AS id FROM r WHERE raw IS NOT NULL""")
 def tool_call_ids(t):
     return _calls(t).select("conv_id", "turn", TC.parse(F.col("s"))["id"].alias("id")).where("id is not null")
 
@@ -274,9 +275,9 @@ def tool_strip(t):
     return _calls(t).select("conv_id", "turn", TC.strip_calls(F.col("s")).alias("text"))
 
 
-@query("""SELECT conv_id, turn, '<tool_call>{"name":"find","arguments":{"q":' || turn || '}}</tool_call>' AS call, '<tool_result>' || role || '</tool_result>' AS result FROM conversations""")
+@query("""SELECT conv_id, turn, '<tool_call>{"name": "find", "arguments": {"q": ' || turn || '}}</tool_call>' AS call, '<tool_result>' || role || '</tool_result>' AS result FROM conversations""")
 def tool_format(t):
-    return t("conversations").select("conv_id", "turn", TC.format_call(F.lit("find"), F.concat(F.lit('{"q":'), "turn", F.lit("}"))).alias("call"), TC.format_result(F.col("role")).alias("result"))
+    return t("conversations").select("conv_id", "turn", TC.format_call(F.lit("find"), F.concat(F.lit('{"q": '), "turn", F.lit("}"))).alias("call"), TC.format_result(F.col("role")).alias("result"))
 
 
 @query(r"""SELECT n_name, n_name || ': tool of region ' || n_regionkey || chr(10) || '  - key (required): key ' || n_nationkey || chr(10) || '  - note: free text' AS text FROM nation""")
@@ -285,17 +286,20 @@ def tool_catalogue(t):
     return TC.catalogue(t("nation").withColumn("d", F.concat(F.lit("tool of region "), "n_regionkey")).withColumn("p", params), "n_name", "d", "p")
 
 
-@query(r"""SELECT o_orderkey, CASE WHEN n_name IS NULL THEN 'Error: unknown tool t' || (o_custkey % 30) ELSE n_name END AS result FROM orders LEFT JOIN nation ON o_custkey % 30 = n_nationkey""")
+@query(r"""SELECT o_orderkey, CASE WHEN n_name IS NULL THEN 'Error: Tool ' || chr(39) || 't' || (o_custkey % 30) || chr(39) || ' not found' ELSE n_name END AS result FROM orders LEFT JOIN nation ON o_custkey % 30 = n_nationkey""")
 def tool_dispatch(t):
     tools = t("nation").select(F.concat(F.lit("t"), "n_nationkey").alias("name"), F.col("n_name").alias("result"))
     calls = t("orders").select("o_orderkey", F.concat(F.lit("t"), F.col("o_custkey") % 30).alias("name"))
     return TC.dispatch(calls, tools).select("o_orderkey", "result")
 
 
-@query(r"""WITH a AS (SELECT conv_id, string_agg('call ' || turn || chr(10) || '<tool_result>' || role || '</tool_result>', chr(10) ORDER BY turn) AS s FROM conversations GROUP BY conv_id)
-SELECT conv_id, 'start' || chr(10) || s AS text FROM a""")
+@query(r"""WITH r AS (SELECT conv_id, turn, role, '{"name": "find", "arguments": {"q": ' || turn || '}}' AS raw FROM conversations)
+SELECT conv_id, 'start' || string_agg('<tool_call>' || raw || '</tool_call><tool_result id=' || chr(39) || 'call_' || (('0x' || substr(md5(raw), 1, 8))::BIGINT % 10000) || chr(39) || '>' || role || '</tool_result>', '' ORDER BY turn) AS text FROM r GROUP BY conv_id""")
 def tool_context(t):
-    steps = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("call "), "turn").alias("call"), F.col("role").alias("result")))).alias("steps"))
+    """A text with the calls made and their results behind it, each with the id of its call."""
+    arguments = F.concat(F.lit('{"q": '), "turn", F.lit("}"))
+    step = F.struct("turn", F.lit("find").alias("name"), arguments.alias("arguments"), J.call_id(TC.call_text(F.lit("find"), arguments)).alias("id"), F.col("role").alias("result"))
+    steps = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     return steps.select("conv_id", TC.context(F.lit("start"), F.col("steps")).alias("text"))
 
 

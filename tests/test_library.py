@@ -341,6 +341,8 @@ def test_tool_calls(spark):
     got = [r["x"] and (r["x"]["name"], r["x"]["arguments"]) for r in column(spark, [f"<tool_call>{x}</tool_call>" for x in odd]).select(TC.parse(F.col("x")).alias("x")).collect()]
     assert got == [None, None, None, (None, '{"q":[1,"a"]}'), None, None, None, ("f", '{"a":{"b":null}}'), None, None]
     assert one(spark, TC.strip_calls(TC.format_result(F.lit("r"), F.lit("call_1")))) == "" and one(spark, TC.format_result(F.lit("r"), F.lit("c"))) == "<tool_result id='c'>r</tool_result>"
+    assert one(spark, TC.format_call(F.lit("f"), F.lit('{"x": 1}'))) == '<tool_call>{"name": "f", "arguments": {"x": 1}}</tool_call>'
+    assert one(spark, TC.parse(TC.format_call(F.lit('a "b" \\ c'), F.lit("{}"))))["name"] == 'a "b" \\ c'
     again = TC.parse(TC.format_call(F.lit("f"), F.lit('{"x":1}')))
     assert one(spark, again)["arguments"] == '{"x":1}'
     assert one(spark, TC.extend_mask(F.array(F.lit(0)), F.lit(2))) == [0, 1, 1]

@@ -35,17 +35,17 @@ def tools(spark):
 def test_rounds_of_calls(spark, tools):
     f1, f2, lst, bad, unknown, other = call("find", '{"q":1}'), call("find", '{"q":2}'), '<tool_call>{"name": "list"}</tool_call>', "<tool_call>{'name': 1</tool_call>", call("none", "{}"), call("find", '{"q":9}')
     plays = {1: "answer", 2: f"{f1}|{f2}|done", 3: f"{lst}|end", 4: bad, 5: f"{unknown}|{other}|over", 6: "|".join([f1] * 20), 7: "null", 8: f"{call('find', 2)}|x", 9: "|".join([f1] * 3 + ["late"])}
-    rows = {r["id"]: r for r in L.converse(spark.createDataFrame(list(plays.items()), "id int, script string"), "id", "script", model, L.lookup(tools), max_calls=3).collect()}
+    rows = {r["id"]: r for r in L.converse(spark.createDataFrame(list(plays.items()), "id int, script string").withColumn("script", F.concat("script", F.lit("\n"))), "id", "script", model, L.lookup(tools), max_calls=3).collect()}
     assert {k: (r["calls"], r["answered"]) for k, r in rows.items()} == {1: (0, True), 2: (2, True), 3: (1, True), 4: (0, True), 5: (2, True), 6: (3, False), 7: (0, True), 8: (1, True), 9: (3, True)}
     assert rows[2]["output"] == "done" and rows[7]["output"] == "" and rows[6]["output"] == f1 and rows[9]["output"] == "late"
     assert rows[2]["text"].count("<tool_result id='call_") == 2 and ">one</tool_result>" in rows[2]["text"] and rows[2]["text"].endswith(">two</tool_result>")
     assert ">all</tool_result>" in rows[3]["text"] and "Error: Tool 'none' not found" in rows[5]["text"] and 'no result for {"q":9}' in rows[5]["text"]
-    assert L.converse(spark.createDataFrame([], "id int, script string"), "id", "script", model, L.lookup(tools)).count() == 0
-    assert {r["id"]: r["calls"] for r in L.converse(spark.createDataFrame([(6, plays[6])], "id int, script string"), "id", "script", model, L.lookup(tools)).collect()} == {6: 10}
+    assert L.converse(spark.createDataFrame([], "id int, script string").withColumn("script", F.concat("script", F.lit("\n"))), "id", "script", model, L.lookup(tools)).count() == 0
+    assert {r["id"]: r["calls"] for r in L.converse(spark.createDataFrame([(6, plays[6])], "id int, script string").withColumn("script", F.concat("script", F.lit("\n"))), "id", "script", model, L.lookup(tools)).collect()} == {6: 10}
 
 
 def test_rounds_are_taken_up_again(spark, tools, tmp_path):
-    items = spark.createDataFrame([(k, "|".join([call("find", '{"q":1}')] * k + ["end"])) for k in range(5)], "id int, script string")
+    items = spark.createDataFrame([(k, "|".join([call("find", '{"q":1}')] * k + ["end"])) for k in range(5)], "id int, script string").withColumn("script", F.concat("script", F.lit("\n")))
     want = sorted(map(tuple, L.converse(items, "id", "script", model, L.lookup(tools)).collect()))
     asked = []
 
