@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import packtable as PT
-from ..scratch import own, shared_folder
+from ..scratch import materialize, own, shared_folder
 from ..sources import batches as B
 from ..sources.tables import progress, run_steps
 from ..streaming.store import ResultStore
@@ -50,7 +50,7 @@ r AS (SELECT list_has_any(p, ['yes', 'no', 'y', 'n']) AS ok, list_contains(p, g[
 SELECT count(*)::BIGINT AS total, count(*) FILTER (ok AND hit)::BIGINT AS correct, count(*) FILTER (ok AND NOT hit)::BIGINT AS incorrect, count(*) FILTER (NOT ok)::BIGINT AS invalid FROM r""")
 def kept_results_score(t):
     """Results in three deliveries, one of them twice, and a late one that corrects a quarter of them: each id counts once."""
-    rows = results(t).select("id", "answer", "model_answer")
+    rows = materialize(results(t).select("id", "answer", "model_answer"), "results")  # each delivery reads it again
     spark = rows.sparkSession
     store = ResultStore(spark, own(f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"), "id long, answer string, model_answer string")
     for number, part in ((0, 0), (1, 1), (1, 1), (2, 2)):

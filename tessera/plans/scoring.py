@@ -22,8 +22,9 @@ TOKENS_SQL = r"regexp_split_to_array(lower(regexp_replace({x}, '^\s+|\s+$', '',
 
 def results(t):
     """Items with a gold and a model answer, from labels and the texts of their documents."""
+    said = F.when(F.col("doc_id") % 5 == 2, F.col("text"))  # the texts that are answers; no others are shuffled
     return (
-        t("labels").join(t("documents").select("doc_id", "text", "lang", "source"), "doc_id")
+        t("labels").join(t("documents").select("doc_id", said.alias("text"), "lang", "source"), "doc_id")
         .select(
             F.col("doc_id").alias("id"), F.col("doc_id").alias("rn"), "lang", "source", "quality", "toxic",
             F.when(F.col("toxic") == 1, "Yes.").when(F.col("doc_id") % 7 == 0, "maybe").otherwise("No").alias("answer"),

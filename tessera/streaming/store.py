@@ -52,7 +52,7 @@ class ResultStore:
             rows = rows.unionByName(self.base.read())
         names = [f.name for f in self.kept.fields]
         # Equal places are told apart by the rows themselves, so that any order of arrival gives the same.
-        place = F.struct(*([F.col(self.order)] if self.order else []), F.col("_batch"), F.to_json(F.struct(*[f.name for f in self.schema.fields])).alias("_tie"))
+        place = F.struct(*([F.col(self.order)] if self.order else []), F.col("_batch"), F.xxhash64(*[f.name for f in self.schema.fields]).alias("_tie"))
         return rows.groupBy("id").agg(F.max_by(F.struct(*names), place).alias("r")).select("r.*")
 
     def current(self) -> DataFrame:
