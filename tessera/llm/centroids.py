@@ -78,7 +78,8 @@ def _merged(kept: DataFrame, centroids: np.ndarray, scale: int, dims: int) -> di
     sent = kept.sparkSession.sparkContext.broadcast(centroids)
     parts = kept.select("vector").mapInPandas(_sums(lambda: sent.value, scale, dims), "cluster int, n long, inertia long, sums array<long>")
     total = lambda c: F.sum(c.cast("decimal(38,0)"))
-    merged = parts.groupBy("cluster").agg(total(F.col("n")).alias("n"), total(F.col("inertia")).alias("inertia"), F.array(*[total(F.col("sums")[i]) for i in range(dims)]).alias("sums"))
+    sums = F.array(*[total(F.col("sums")[i]) for i in range(dims)])
+    merged = parts.groupBy("cluster").agg(total(F.col("n")).alias("n"), total(F.col("inertia")).alias("inertia"), sums.alias("sums"))
     return {r["cluster"]: (int(r["n"]), int(r["inertia"]), [int(x) for x in r["sums"]]) for r in merged.collect()}
 
 

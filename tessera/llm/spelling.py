@@ -105,7 +105,10 @@ def _half(word: Column, length: Column, side: int) -> Column:
 def _entries(words: DataFrame, shorter: bool) -> DataFrame:
     """The buckets of each word: three bands, two halves, and as the longer word also those of words of one code point less."""
     keys = [
-        F.struct(F.lit(band).alias("band"), F.lit(side).alias("side"), F.xxhash64(F.lit(band), F.col("mask").bitwiseAND(F.lit(BANDS[band])), F.lit(side), F.col("length") - less, _half(F.col("word"), F.col("length") - less, side)).alias("key"))
+        F.struct(
+            F.lit(band).alias("band"), F.lit(side).alias("side"),
+            F.xxhash64(F.lit(band), F.col("mask").bitwiseAND(F.lit(BANDS[band])), F.lit(side), F.col("length") - less, _half(F.col("word"), F.col("length") - less, side)).alias("key"),
+        )
         for less in ((0,) if shorter else (0, 1)) for band in range(3) for side in range(2)
     ]
     return words.select("word", "n", "mask", "length", F.explode(F.array(*keys)).alias("x")).select("word", "n", "mask", "length", "x.*")
@@ -138,7 +141,8 @@ def roots(forms: DataFrame) -> DataFrame:
     up = materialize(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         a, b = up.alias("a"), up.alias("b")
-        moved = materialize(a.join(b, F.col("a.root") == F.col("b.word"), "left").select("a.word", F.coalesce("b.root", "a.root").alias("root"), F.col("b.word").isNotNull().alias("moved")), "forms")
+        step = a.join(b, F.col("a.root") == F.col("b.word"), "left")
+        moved = materialize(step.select("a.word", F.coalesce("b.root", "a.root").alias("root"), F.col("b.word").isNotNull().alias("moved")), "forms")
         if moved.where("moved").isEmpty():
             return up
         up = moved.select("word", "root")
@@ -147,7 +151,8 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     """(word, form, root, n, n_near, form_n) for each row of words (word, n), as op11_spelling states."""
     words = materialize(words.select("word", "n"), "words")
-    both = near_pairs(words).select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("bn").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("an").alias("m")))).alias("x"))
+    way = lambda word, other, m: F.struct(F.col(word).alias("word"), F.col(other).alias("other"), F.col(m).alias("m"))
+    both = near_pairs(words).select(F.explode(F.array(way("a", "b", "bn"), way("b", "a", "an"))).alias("x"))
     near = both.select("x.*").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("other"))).alias("best"))
     taken = -F.col("best.less") >= ratio * F.col("n")
     found = words.join(near, "word", "left").select(

@@ -151,7 +151,8 @@ def label(url: str, rules: Rules) -> int:
 
 def labelled(urls: DataFrame, rules: Sequence[Rule], rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
     """(url, label) of the first rows distinct URLs by hash, at most rows x TRAIN_LENGTH characters."""
-    chosen = urls.where(F.col("url").isNotNull() & (F.length("url") <= TRAIN_LENGTH)).select("url").distinct().orderBy(F.xxhash64("url"), "url").limit(rows).collect()
+    short = urls.where(F.col("url").isNotNull() & (F.length("url") <= TRAIN_LENGTH)).select("url").distinct()
+    chosen = short.orderBy(F.xxhash64("url"), "url").limit(rows).collect()
     own = Rules(rules)
     return [(r["url"], label(r["url"], own)) for r in chosen]
 
