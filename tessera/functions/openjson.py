@@ -35,4 +35,5 @@ def exploded(df: DataFrame, json: str, *keep: str) -> DataFrame:
 def profile(df: DataFrame, json: str, *by: str) -> DataFrame:
     """(by, key, n, numbers, low, high, total): how often a key occurs, and its numbers. Partial results go through one shuffle."""
     number = F.try_variant_get("value", "$", "double")
-    return exploded(df, json, *by).groupBy(*by, "key").agg(F.count(F.lit(1)).alias("n"), F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"), F.sum(number).alias("total"))
+    keys = exploded(df, json, *by).groupBy(*by, "key")
+    return keys.agg(F.count(F.lit(1)).alias("n"), F.count(number).alias("numbers"), F.min(number).alias("low"), F.max(number).alias("high"), F.sum(number).alias("total"))

@@ -97,8 +97,10 @@ def quantiles(df: DataFrame, x: str, shares: dict[str, float], *by: str) -> Data
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(p) * (F.col("rows") - 1)).alias("place")) for k, p in enumerate(shares.values())]))
     brackets = _bracket(whole.select(*by, "rows", "steps", F.lit(0).cast("long").alias("under"), wanted.alias("w")).select(*by, "w.*", "rows", "steps", "under"), *by)
     while (brackets.agg(F.max("rows")).first()[0] or 0) > INSIDE:
-        narrow = _hits(rows, brackets, *by).groupBy(*by, "k").agg(F.count_if("below").alias("under"), F.count_if(~F.col("below")).alias("rows"), sketch(F.when(~F.col("below"), F.col("_x"))))
-        brackets = _bracket(brackets.alias("b").join(narrow.alias("n"), _same("b", "n", *by, "k")).select(*[f"b.{c}" for c in by], "b.k", "b.place", "n.rows", "n.steps", "n.under", F.col("b.lo").alias("was_lo"), F.col("b.hi").alias("was_hi")), *by)
+        inside = ~F.col("below")
+        narrow = _hits(rows, brackets, *by).groupBy(*by, "k").agg(F.count_if("below").alias("under"), F.count_if(inside).alias("rows"), sketch(F.when(inside, F.col("_x"))))
+        again = brackets.alias("b").join(narrow.alias("n"), _same("b", "n", *by, "k"))
+        brackets = _bracket(again.select(*[f"b.{c}" for c in by], "b.k", "b.place", "n.rows", "n.steps", "n.under", F.col("b.lo").alias("was_lo"), F.col("b.hi").alias("was_hi")), *by)
     found = _counted(rows, brackets, *by)
     if not found.where("missed").isEmpty():
         everything = brackets.withColumns({"lo": F.lit(float("-inf")), "hi": F.lit(float("inf"))})

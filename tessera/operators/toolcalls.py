@@ -79,7 +79,12 @@ def described(schema: Column) -> Column:
     name, about = text_of(tool, "$.function.name"), text_of(tool, "$.function.description")
     required = F.coalesce(F.try_variant_get(tool, "$.function.parameters.required", "array<string>"), F.array().cast("array<string>"))
     listed = entries(F.get_json_object(schema, "$.function.parameters.properties"))
-    line = lambda e: F.concat(F.lit("    - "), e["key"], F.lit(": "), F.coalesce(text_of(e["value"], "$.description"), F.lit("")), F.when(F.array_contains(required, e["key"]), " (required)").otherwise(" (optional)"), F.lit("\n"))
+
+    def line(e: Column) -> Column:
+        about = F.coalesce(text_of(e["value"], "$.description"), F.lit(""))
+        need = F.when(F.array_contains(required, e["key"]), " (required)").otherwise(" (optional)")
+        return F.concat(F.lit("    - "), e["key"], F.lit(": "), about, need, F.lit("\n"))
+
     params = F.when(listed.isNotNull(), F.concat(F.lit("  Parameters:\n"), F.array_join(F.transform(listed, line), "")))
     return F.concat(F.lit("- "), name, F.lit(": "), F.coalesce(about, F.lit("")), F.lit("\n"), F.coalesce(params, F.lit("")), F.lit("\n"))
 

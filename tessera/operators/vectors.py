@@ -25,7 +25,10 @@ def sums(df: DataFrame, array: str, width: int, *by: str) -> DataFrame:
     """
     slices = -(-width // SLICE)
     each, own = min(width, SLICE), F.col(array)
-    rows = df.select(*by, own.alias("_w"), F.lit(0).alias("_slice")) if slices == 1 else df.select(*by, F.posexplode(F.array(*[F.slice(own, k * SLICE + 1, SLICE) for k in range(slices)])).alias("_slice", "_w"))
+    if slices == 1:
+        rows = df.select(*by, own.alias("_w"), F.lit(0).alias("_slice"))
+    else:
+        rows = df.select(*by, F.posexplode(F.array(*[F.slice(own, k * SLICE + 1, SLICE) for k in range(slices)])).alias("_slice", "_w"))
     parts = rows.groupBy(*by, "_slice").agg(
         F.array(*[F.sum(_position(F.col("_w"), i)) for i in range(each)]).alias("sums"), F.array(*[F.count(_position(F.col("_w"), i)) for i in range(each)]).alias("counts")
     )

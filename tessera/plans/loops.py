@@ -29,7 +29,8 @@ def tool_loop(t):
     tools = t("part").select(F.lit("next").alias("name"), F.concat(F.lit('{"k":'), part, F.lit("}")).alias("arguments"), F.concat(F.lit("value "), (part * 31 + F.col("p_size")) % 150).alias("result"))
     items = t("customer").select("c_custkey", F.concat(F.lit("Start with value "), F.col("c_custkey") % 150).alias("text"))
     errors = F.size(F.regexp_extract_all("text", F.lit("Error: Tool 'other' not found"), F.lit(0))).cast("long")
-    return L.converse(items, "c_custkey", "text", _model, L.lookup(tools)).select("c_custkey", "calls", "answered", TC.strip_calls(F.col("output")).alias("answer"), errors.alias("errors"))
+    out = L.converse(items, "c_custkey", "text", _model, L.lookup(tools))
+    return out.select("c_custkey", "calls", "answered", TC.strip_calls(F.col("output")).alias("answer"), errors.alias("errors"))
 
 
 @query(r"""SELECT p_partkey % 50 AS prompt, 'You have access to the following tools:' || chr(10) || chr(10) || string_agg('- tool_' || p_partkey || ': ' || p_name || chr(10) || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '  Parameters:' || chr(10)

@@ -79,7 +79,10 @@ def _containers(t):
     made = mp4(frames, (key % 4 + 1) * 600, F.lit(40), h, w)
     kind = key % 10
     empty = mp4(F.lit(1), F.lit(0), F.lit(40), h, w)
-    content = F.when(kind == 3, _cut(made, 9)).when(kind == 4, F.substring(made[0], 1, 50)).when(kind == 5, F.encode("p_name", "utf-8")).when(kind == 7, avi(frames, (key % 4 + 1) * 15, 1, h, w)[0]).when(kind == 9, empty[0]).otherwise(made[0])
+    odd = {3: _cut(made, 9), 4: F.substring(made[0], 1, 50), 5: F.encode("p_name", "utf-8"), 7: avi(frames, (key % 4 + 1) * 15, 1, h, w)[0], 9: empty[0]}
+    content = made[0]
+    for k, other in odd.items():
+        content = F.when(kind == k, other).otherwise(content)
     return t("part").select("p_partkey", content.alias("content"))
 
 
@@ -104,7 +107,8 @@ def _files(t):
     key = F.col("p_partkey")
     made = png(key % 300 + 10, key % 500 + 10)
     kind = key % 12
-    content = F.when(kind == 1, _cut(made, 5)).when(kind == 2, F.concat(F.substring(made[0], 1, 20), F.unhex(F.lit("77")), F.substring(made[0], 22, made[1]))).when(kind == 3, F.lit(None).cast("binary")).when(kind == 4, F.encode("p_name", "utf-8")).otherwise(made[0])
+    flipped = F.concat(F.substring(made[0], 1, 20), F.unhex(F.lit("77")), F.substring(made[0], 22, made[1]))
+    content = F.when(kind == 1, _cut(made, 5)).when(kind == 2, flipped).when(kind == 3, F.lit(None).cast("binary")).when(kind == 4, F.encode("p_name", "utf-8")).otherwise(made[0])
     return t("part").where(key % 6 != 5).select(F.concat("p_partkey", F.lit(".png")).alias("name"), content.alias("content"))
 
 

@@ -56,7 +56,8 @@ def dense(batched: DataFrame, key: str, side: str = "right") -> DataFrame:
             at = slice(0, n) if side == "right" else slice(width - n, width)
             ids[i, at], labels[i, at], mask[i, at] = x, y, 1
         first = rows.iloc[0]
-        return pd.DataFrame([{"shard": first["shard"], "batch": first["batch"], "rows": len(rows), "width": width, "keys": rows["key"].to_numpy("<i8").tobytes(), "input_ids": ids.tobytes(), "labels": labels.tobytes(), "attention_mask": mask.tobytes()}])
+        arrays = {"keys": rows["key"].to_numpy("<i8"), "input_ids": ids, "labels": labels, "attention_mask": mask}
+        return pd.DataFrame([{"shard": first["shard"], "batch": first["batch"], "rows": len(rows), "width": width} | {k: a.tobytes() for k, a in arrays.items()}])
 
     return chosen.groupBy("shard", "batch").applyInPandas(one, SCHEMA)
 
@@ -118,7 +119,8 @@ class BatchWriter(DataSourceWriter):
                 digest = hashlib.sha256(data).hexdigest()
                 with store.open_output_stream(f"{root}/{name}.{digest[:16]}.staged") as f:
                     f.write(data)
-                out.append({"shard": held[0]["shard"], "name": f"{name}.bin", "staged": f"{name}.{digest[:16]}.staged", "batches": len(held), "rows": sum(r["rows"] for r in held), "bytes": len(data), "sha256": digest})
+                size = {"batches": len(held), "rows": sum(r["rows"] for r in held), "bytes": len(data)}
+                out.append({"shard": held[0]["shard"], "name": f"{name}.bin", "staged": f"{name}.{digest[:16]}.staged", "sha256": digest} | size)
                 held.clear()
 
         for row in iterator:
