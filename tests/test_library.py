@@ -110,6 +110,14 @@ def test_frame_plan_of_every_part(spark, tmp_path):
     assert sorted(got) == want and {k for k, _, _ in want} == {1, 2, 11, 419, 4999, 5003, 9997}
 
 
+def test_frames_are_made_by_all_tasks(spark, tmp_path):
+    spark.range(400).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    per_task = [r["count"] for r in QUERIES["frame_plan"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) == 4 and max(per_task) < 2 * min(per_task)
+    rows = spark.createDataFrame([(1, 1, 30.0), (2, 0, 30.0), (3, None, 30.0), (4, 9, None), (5, 9, 1.0)], "k int, total long, fps double")
+    assert sorted(map(tuple, E.frame_rows(rows, "total", "fps", "k").collect())) == [(1, 0, 0)] + [(5, i, i) for i in range(9)]
+
+
 def test_media_tokens(spark):
     df = spark.createDataFrame([(280, 280, None), (0, 10, None), (None, 10, None), (280, 280, 5)], "h int, w int, f int")
     assert [r["x"] for r in df.select(E.media_tokens(F.col("h"), F.col("w"), F.col("f")).alias("x")).collect()] == [100, -1, -1, 250]
