@@ -20,6 +20,16 @@ def raw_call(text: Column) -> Column:
     return F.when(text.rlike(CALL), strip(F.regexp_extract(text, CALL, 1)))
 
 
+def _whole(raw: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+
+
+def _call(raw: Column, whole: Column) -> Column:
+    valid = raw.startswith("{") & (F.size(whole) == 1) & F.get(whole, F.lit(0)).isNotNull()
+    arguments = F.coalesce(F.get_json_object(raw, "$.arguments"), F.lit("{}"))
+    return F.when(valid, F.struct(F.get_json_object(raw, "$.name").alias("name"), arguments.alias("arguments"), call_id(raw).alias("id"), raw.alias("raw")))
+
+
 def parse(text: Column) -> Column:
     """STRUCT<name, arguments (JSON text), id, raw> of the first call; null if it is missing or not one JSON object.
 
@@ -27,11 +37,13 @@ def parse(text: Column) -> Column:
     without a name has a null one; missing arguments are {}.
     """
     raw = raw_call(text)
-    strict = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
-    whole = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<map<string,string>>", strict)
-    valid = raw.startswith("{") & (F.size(whole) == 1) & F.get(whole, F.lit(0)).isNotNull()
-    arguments = F.coalesce(F.get_json_object(raw, "$.arguments"), F.lit("{}"))
-    return F.when(valid, F.struct(F.get_json_object(raw, "$.name").alias("name"), arguments.alias("arguments"), call_id(raw).alias("id"), raw.alias("raw")))
+    return _call(raw, _whole(raw))
+
+
+def with_call(df: DataFrame, text: str, name: str = "call") -> DataFrame:
+    """df with parse() of a column; its steps are columns, so that each is computed once a row."""
+    steps = df.withColumn("_raw", raw_call(F.col(text))).withColumn("_whole", _whole(F.col("_raw")))
+    return steps.withColumn(name, _call(F.col("_raw"), F.col("_whole"))).drop("_raw", "_whole")
 
 
 def call_text(name: Column, arguments: Column) -> Column:

@@ -13,10 +13,11 @@ from .registry import query
 
 def _model(rows):
     """Stands for a model: it asks for what follows the last value that it has read, until that is 5 more than a multiple of 6."""
-    value = F.regexp_extract("text", r"(?s)^.*value (\d+)", 1).cast("long")
+    rows = rows.withColumn("_value", F.regexp_extract("text", r"(?s)^.*value (\d+)", 1).cast("long"))
+    value = F.col("_value")
     name = F.when(value % 40 == 7, F.lit("other")).otherwise(F.lit("next"))
     call = F.concat(F.lit("I look.\n"), TC.format_call(name, F.concat(F.lit('{"k":'), value, F.lit("}"))))
-    return rows.withColumn("output", F.when(value % 6 == 5, F.concat(F.lit("It is "), value, F.lit("."))).otherwise(call))
+    return rows.withColumn("output", F.when(value % 6 == 5, F.concat(F.lit("It is "), value, F.lit("."))).otherwise(call)).drop("_value")
 
 
 @query(r"""WITH RECURSIVE tool AS (SELECT p_partkey AS k, (p_partkey * 31 + p_size) % 150 AS next FROM part),

@@ -64,6 +64,30 @@ def test_rounds_are_taken_up_again(spark, tools, tmp_path):
     assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "r" / "round-1").iterdir()} == files, "a finished round is read, not made again"
 
 
+def test_rounds_are_made_by_all_tasks(spark, tools, tmp_path):
+    items = spark.range(200).selectExpr("id", """concat('<tool_call>{"name": "list"}</tool_call>|end', chr(10)) AS script""").coalesce(1)
+    out = L.converse(items, "id", "script", model, L.lookup(tools), folder=str(tmp_path / "r")).collect()
+    assert len(out) == 200 and all(r["calls"] == 1 and r["output"] == "end" for r in out)
+    for number in range(2):
+        assert len(list((tmp_path / "r" / f"round-{number}").glob("*.parquet"))) == 4
+
+
+def test_popular_calls_are_not_shuffled(spark):
+    tools = spark.range(20_000).selectExpr("'get' AS name", "concat('{\"q\":', id, '}') AS arguments", "concat('r', id) AS result")
+    calls = spark.range(1000).selectExpr("id", "CASE WHEN id = 0 THEN NULL WHEN id = 1 THEN 'put' ELSE 'get' END AS name", "CASE WHEN id = 2 THEN '{}' ELSE '{\"q\":7}' END AS arguments")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+    try:
+        done = L.lookup(tools)(calls)
+        plan = done._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["result"] for r in done.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert done.columns == ["id", "name", "arguments", "result"] and len(got) == 1000
+    assert got == {0: "Error: Tool 'None' not found", 1: "Error: Tool 'put' not found", 2: "Error executing tool: no result for {}"} | {k: "r7" for k in range(3, 1000)}
+
+
 def test_entries_of_objects(spark):
     texts = ['{"b": 1, "a": {"x": [1, null]}, "": "e", "a.b": null}', "[1]", "7", "null", "{", None, "{}"]
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, j string")
